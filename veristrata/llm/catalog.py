@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from veristrata.llm import license_scan, packing, token_counts, token_files
+from veristrata.llm import chat_format, license_scan, packing, quality_rules, token_counts, token_files
 
 QUERIES = {
+    "op3_chat_format": chat_format.op3_chat_format,
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_token_files": token_files.op2_token_files,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
