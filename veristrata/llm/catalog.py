@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veristrata.llm import chat_format, license_scan, packing, quality_rules, token_counts, token_files
+from veristrata.llm import chat_format, license_scan, packing, pii, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op3_chat_format": chat_format.op3_chat_format,
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_token_files": token_files.op2_token_files,
+    "op5_pii": pii.op5_pii,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op10_license_scan": license_scan.op10_license_scan,
