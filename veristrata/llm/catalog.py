@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veristrata.llm import chat_format, decontaminate, license_scan, packing, pii, quality_rules, token_counts, token_files
+from veristrata.llm import chat_format, decontaminate, license_scan, near_dedup, packing, pii, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op3_chat_format": chat_format.op3_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_license_scan": license_scan.op10_license_scan,
 }
