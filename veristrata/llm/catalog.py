@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veristrata.llm import chat_format, decontaminate, license_scan, near_dedup, packing, pii, quality_rules, token_counts, token_files
+from veristrata.llm import chat_format, decontaminate, license_scan, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts, token_files
 
 QUERIES = {
     "op3_chat_format": chat_format.op3_chat_format,
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_token_files": token_files.op2_token_files,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_pii": pii.op5_pii,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
