@@ -1,7 +1,8 @@
 """Removal of repeated byte strings, by suffix arrays over the places where repeats can be.
 
-Every window of LENGTH bytes has a key: the least hash of the SEED-byte strings in it. Equal windows have equal keys,
-so runs of windows with one key (segments) are counted by key, and segments whose key stands alone are left at once.
+Every window of LENGTH bytes has a key: the least hash of the SEED-byte strings in it, leftmost if there are several.
+Equal windows have equal keys, at one distance. Runs of windows whose key stands at one place are segments; they are
+counted by key, and a segment whose key stands alone is left at once.
 Equal segments are dealt with by counting. Different segments of one key meet in a bucket: they are cut into pieces
 where four bytes say so, pieces become symbols, and the suffix array of the symbols (Lyndon grouping, linear time)
 shows how far each piece's suffix agrees with its neighbours in order. Windows whose whole pieces lie within that
@@ -30,8 +31,8 @@ from veristrata.llm.near_dedup import groups, mix
 from veristrata.llm.suffix_groups import neighbours, suffix_array
 
 LENGTH, SEED = 200, 64
-#: Bytes of text looked at together, bits of the table of keys, and most segments of a bucket.
-PART, BITS, BUCKET = 1 << 20, 1 << 26, 20_000
+#: Bytes of text looked at together (under half of PLACE), bits of the table of keys, and most segments of a bucket.
+PART, PLACE, BITS, BUCKET = 1 << 20, 1 << 22, 1 << 26, 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -63,7 +64,9 @@ def segments(held, length: int, seed: int):
     h = (sums[seed:] - sums[:-seed]) * np.cumprod(np.r_[np.uint64(1), np.full(n - seed, INVERSE)])
     h = mix(h)
     del power, sums
-    width, step, least = length - seed + 1, 1, h
+    # the least hash (its upper bits) and, of equals, the leftmost place
+    place = np.uint64(PLACE - 1)
+    width, step, least = length - seed + 1, 1, (h & ~place) | np.arange(len(h), dtype=np.uint64)
     while step * 2 <= width:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
@@ -79,7 +82,8 @@ def segments(held, length: int, seed: int):
     own = part[starts]
     stops = np.minimum(stops, ends[own] - length + 1)  # windows of a part only
     first = ends[own] - sizes[own]
-    return least[starts].view(np.int64), own, starts - first, stops - 1 + length - first
+    key = h[(least[starts] & place).astype(np.int64)]
+    return key.view(np.int64), own, starts - first, stops - 1 + length - first
 
 
 def emit(docs: DataFrame, want: str, length: int, seed: int, table: np.ndarray | None = None) -> DataFrame:
