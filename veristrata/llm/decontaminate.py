@@ -188,5 +188,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     """The rows of docs that aren't contaminated, all columns as they are."""
     bad = shared.materialise(report(docs, benchmark, **options).filter("contaminated").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "contaminated")
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit("k2"), text)})
-    return marked.join(bad, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    marked = shared.as_row(docs, _k1=F.xxhash64(text), _k2=F.xxhash64(F.lit("k2"), text))
+    return shared.from_row(marked.join(bad, ["_k1", "_k2"], "left_anti"), docs)

@@ -271,7 +271,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), (F.col("n_shingles") > 0).alias("_has"))
     kept = shared.materialise(kept.distinct(), "kept")
-    own = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit("k2"), text)})
-    joined = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (own["_k1"] == kept["_k1"]) & (own["_k2"] == kept["_k2"])).drop(kept["_k1"], kept["_k2"])
-    empty = joined.filter(~F.col("_has")).select(*docs.columns)
-    return joined.filter("_has").dropDuplicates(["doc_id", "_k1", "_k2"]).select(*docs.columns).unionByName(empty)
+    own = shared.as_row(docs, __id=F.col("doc_id"), __k1=F.xxhash64(text), __k2=F.xxhash64(F.lit("k2"), text))
+    joined = own.join(kept, F.col("__id").eqNullSafe(F.col("_id")) & (F.col("__k1") == F.col("_k1")) & (F.col("__k2") == F.col("_k2")))
+    once = joined.filter("_has").dropDuplicates(["__id", "__k1", "__k2"])
+    return shared.from_row(once.unionByName(joined.filter(~F.col("_has"))), docs)

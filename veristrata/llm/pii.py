@@ -221,18 +221,25 @@ def find_pii(docs: DataFrame, **options) -> DataFrame:
     return df.withColumns(n).select("doc_id", *n, F.sha2(spelled("_base"), 256).alias("base_sha256"), spelled("_spans").alias("spans"))
 
 
-def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs with every span's text replaced by its kind in brackets; overlapping spans become one. All columns stay."""
-    df = with_spans(docs, text, **options)
+def redact(docs: DataFrame, text: str = "text", length: str | None = None, **options) -> DataFrame:
+    """docs with every span's text replaced by its kind in brackets; overlapping spans become one. All columns stay.
+
+    length: a column that holds the text's length, to be brought up to date where a text changes.
+    """
+    df = with_spans(shared.as_row(docs, _text=F.col(text)), "_text", **options)
     names = F.array(*map(F.lit, KINDS))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a, s):
-        fresh = F.struct(s["hi"].alias("at"), F.concat(a["out"], F.array(F.substr(F.col(text), a["at"] + 1, s["lo"] - a["at"]), F.concat(F.lit("["), F.upper(F.get(names, s["k"])), F.lit("]")))).alias("out"))
+        fresh = F.struct(s["hi"].alias("at"), F.concat(a["out"], F.array(F.substr(F.col("_text"), a["at"] + 1, s["lo"] - a["at"]), F.concat(F.lit("["), F.upper(F.get(names, s["k"])), F.lit("]")))).alias("out"))
         return F.when(s["lo"] >= a["at"], fresh).otherwise(F.struct(F.greatest(a["at"], s["hi"]).alias("at"), a["out"].alias("out")))
 
-    done = F.aggregate("_spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col(text), a["at"] + 1, F.length(text))))
-    return df.withColumn(text, F.when(F.size("_spans") > 0, done).otherwise(F.col(text))).drop("_base", "_spans").select(*docs.columns)
+    done = F.aggregate("_spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col("_text"), a["at"] + 1, F.length(text))))
+    df = df.withColumn("_done", F.when(F.size("_spans") > 0, done))
+    changed = {text: F.coalesce("_done", "_text")}
+    if length in docs.columns:
+        changed[length] = F.when(F.col("_done").isNull(), F.col(shared.ROW).getField(length)).otherwise(F.length("_done").cast(docs.schema[length].dataType))
+    return shared.from_row(df, docs, **changed)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,14 +85,15 @@ def depleted(marked: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
-    """docs' columns but the text, with the base counts, base_failed and kept. Texts are read once; what stays of them is written."""
-    kept = [c for c in docs.columns if c != text]
+    """docs' columns but the text (those named like a result give way to it), with the base counts, base_failed and kept. Texts are read once; what stays of them is written."""
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    kept = [c for c in docs.columns if c != text and c not in made]
     based = with_base(docs.withColumn("_host", host_key(host)), text).withColumn("_marks", line_marks(F.col("_lines")))
     based = shared.materialise(based.withColumn("_fp", fingerprint(F.col("_marks"))).drop(text, "_lines"), "quality")
     gone = shared.materialise(depleted(based.select(F.col("_host").alias("host"), F.col("_fp").alias("fp"), F.col("_marks").alias("marks")), **limits), "depleted")
     gone = gone.select(F.col("host").alias("_host"), F.col("fp").alias("_fp"), F.lit(True).alias("_gone"))
     judged = based.join(gone, ["_host", "_fp"], "left").withColumn("kept", ~F.col("base_failed") & F.col("_gone").isNull())
-    return judged.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select(*kept, *made)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,10 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", **limit
     Base rules act on the scan itself; the depleted documents, whose written table has a known size, are then taken
     away by an anti-join, which the planner broadcasts only if that size allows.
     """
-    based = with_base(docs.withColumn("_host", host_key(host)), text).withColumn("_marks", line_marks(F.col("_lines"))).withColumn("_fp", fingerprint(F.col("_marks")))
+    held = shared.as_row(docs, _host=host_key(host), _text=F.col(text))
+    based = with_base(held, "_text").withColumn("_marks", line_marks(F.col("_lines"))).withColumn("_fp", fingerprint(F.col("_marks")))
     gone = shared.materialise(depleted(based.select(F.col("_host").alias("host"), F.col("_fp").alias("fp"), F.col("_marks").alias("marks")), **limits), "depleted")
     gone = gone.select(F.col("host").alias("_host"), F.col("fp").alias("_fp"))
-    return based.filter(~F.col("base_failed")).join(gone, ["_host", "_fp"], "left_anti").select(*docs.columns)
+    # the row's number keeps the filter and the join above the counts, whose arrays would else be made again for each element
+    based = based.withColumn("_at", F.monotonically_increasing_id())
+    return shared.from_row(based.filter(~F.col("base_failed") & (F.col("_at") >= 0)).join(gone, ["_host", "_fp"], "left_anti"), docs)

@@ -62,3 +62,17 @@ def worker_memory(name: str) -> dict:
     import sys
 
     return sys.__dict__.setdefault("_veristrata_memory", {}).setdefault(name, {})
+
+
+#: The column that holds a whole row while an operator works beside it, so that no name of the row can clash.
+ROW = "__row"
+
+
+def as_row(df: DataFrame, **columns: Column) -> DataFrame:
+    """df's rows in the column ROW, with further columns made from df's."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(ROW), *(v.alias(k) for k, v in columns.items()))
+
+
+def from_row(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
+    """The rows held in ROW with like's columns, some of them changed."""
+    return df.select(*((changed[c] if c in changed else F.col(ROW).getField(c)).alias(c) for c in like.columns))
