@@ -13,12 +13,10 @@ import re
 import numpy as np
 
 from veristrata.llm import shared
-from veristrata.llm.token_counts import RUNS, WHITE, byte_names
+from veristrata.llm.token_counts import RUNS, byte_names
 
-#: Entries of a worker's memory of encoded runs.
+#: Entries of a worker's memory of encoded runs; when it is full, later runs are forgotten after their batch.
 KNOWN = 1_000_000
-#: A word before points or commas that end a run. (İ in lower case ends in a mark that joins what follows.)
-WORD = rf"[^\W_İ]+(?=[.,]+(?:[{WHITE}]|$))"
 
 
 def encoder(path: str, keep_white: bool):
@@ -33,39 +31,54 @@ def encoder(path: str, keep_white: bool):
     shown = str.maketrans({chr(b): c for c, b in byte_names().items()})
     stop = "\n".translate(shown)
     (stop_id,) = words.encode(stop).ids
-    cut = re.compile(rf" ?{WORD}|{RUNS}" if keep_white else rf"{WORD}|[^ \n]+").findall
+    cut = re.compile(RUNS if keep_white else r"[^ \n]+").findall
     known: dict[str, bytes] = shared.worker_memory(f"runs of {path}")
 
-    def put(runs: list[str], library, line: str, end: int) -> None:
+    def put(found: dict, runs: list[str], library, line: str, end: int) -> None:
         got = np.array(library.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(got == end) * 4
         data = got.tobytes()
-        known.update(zip(runs, map(data.__getitem__, map(slice, [0, *(ends + 4).tolist()], [*ends.tolist(), len(data)])), strict=True))
+        found.update(zip(runs, map(data.__getitem__, map(slice, [0, *(ends + 4).tolist()], [*ends.tolist(), len(data)])), strict=True))
 
     def plain(run: str) -> bool:
         word = run[1:] if keep_white and run[0] == " " else run
         return word.isalpha() and max(word) < "\u0300" and (keep_white or word.islower())
 
-    def learn(runs: set[str]) -> None:
-        lower = {} if keep_white else {r: r.lower() for r in runs if r.isascii() and not r.islower()}
-        runs = (runs - lower.keys()) | {r for r in lower.values() if r not in known}
+    def learn(runs: set[str]) -> dict[str, bytes]:
+        """The ids of new runs. A word and the points or commas behind it are looked up apart; so is lower case, where all is."""
+        found: dict[str, bytes] = {}
+        made: list[tuple[str, str, str]] = []
         some, rest = [], []
         for r in runs:
-            (some if plain(r) else rest).append(r)
+            low = r.lower() if not keep_white and r.isascii() else r
+            word = low.rstrip(".,")
+            if word and plain(word):
+                made.append((r, word, low[len(word) :]))
+            else:
+                rest.append(r)
+        asked = known
+        some = [w for w in {w for _, w, _ in made} if w not in asked]
+        ends = [e for e in {e for _, _, e in made if e} if e not in asked]
         for at in range(0, len(some), 8192):
             part = some[at : at + 8192]
-            put(part, words, f" {stop} ".join([r.encode().decode("latin-1").translate(shown) for r in part]), stop_id)
-        for at in range(0, len(rest), 8192):
-            put(part := rest[at : at + 8192], library, mark.join(part), mark_id)
-        known.update((r, known[low]) for r, low in lower.items())
+            put(found, part, words, f" {stop} ".join([r.encode().decode("latin-1").translate(shown) for r in part]), stop_id)
+        for at in range(0, len(rest := [*rest, *ends]), 8192):
+            put(found, part := rest[at : at + 8192], library, mark.join(part), mark_id)
+        for r, word, end in made:
+            ids = found[word] if word in found else asked[word]
+            found[r] = ids + (found[end] if end in found else asked[end]) if end else ids
+        return found
 
     def encode(texts: list[str]) -> list[bytes]:
         whole = {i: t for i, t in enumerate(texts) if any(s in t for s in special)}
-        out = {i: np.array(e.ids, "<u4").tobytes() for i, e in zip(whole, library.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True)}
-        if len(known) > KNOWN:
-            known.clear()
+        out = dict(zip(whole, (np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(list(whole.values()), add_special_tokens=False)), strict=True))
         found = [() if i in whole else cut(t) for i, t in enumerate(texts)]
-        learn(set().union(*found).difference(known))
-        return [out[i] if i in out else b"".join(map(known.__getitem__, rs)) for i, rs in enumerate(found)]
+        new = learn(set().union(*found).difference(known))
+        known.update(new)
+        ids = [out[i] if i in out else b"".join(map(known.__getitem__, rs)) for i, rs in enumerate(found)]
+        if len(known) > KNOWN:
+            for r in new:
+                del known[r]
+        return ids
 
     return encode

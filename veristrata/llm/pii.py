@@ -234,7 +234,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = None, **opt
         fresh = F.struct(s["hi"].alias("at"), F.concat(a["out"], F.array(F.substr(F.col("_text"), a["at"] + 1, s["lo"] - a["at"]), F.concat(F.lit("["), F.upper(F.get(names, s["k"])), F.lit("]")))).alias("out"))
         return F.when(s["lo"] >= a["at"], fresh).otherwise(F.struct(F.greatest(a["at"], s["hi"]).alias("at"), a["out"].alias("out")))
 
-    done = F.aggregate("_spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col("_text"), a["at"] + 1, F.length(text))))
+    done = F.aggregate("_spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col("_text"), a["at"] + 1, F.length("_text"))))
     df = df.withColumn("_done", F.when(F.size("_spans") > 0, done))
     changed = {text: F.coalesce("_done", "_text")}
     if length in docs.columns:
