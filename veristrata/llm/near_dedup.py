@@ -3,12 +3,13 @@
 Every document's set of word shingles gets a signature of COORDINATES minima. Documents with equal sets are one class.
 Each class is posted under its coordinate-value pairs; values that nobody shares are skipped, and so is a class that
 shares fewer than MATCHES pairs. Of the others, only a prefix is posted: the n - MATCHES + 1 rarest of the n shared
-pairs, which two classes with MATCHES collisions cannot both miss. The largest list members by total list size are
-hubs: all classes that meet in a list belong to that list's hub, so a family (a hub and its members) holds every
-candidate pair of its lists, each once, and a group of a thousand near copies is compared with its hub, not with
-itself. Members not linked to their hub are then compared exactly with the whole family, in cells of bounded size.
-Links are confirmed on full sets; only links that join something new locally are emitted. Components come from
-label propagation with pointer jumping over written tables.
+pairs, which two classes with MATCHES collisions cannot both miss. Within a list, collisions are counted on the lowest
+bytes of the signatures, and classes joined by MATCHES or more stay together; a list of over CELL classes stays whole.
+The member with the largest lists in all is the hub, and a hub with all that meet it is a family, which holds every
+candidate pair: a group of a thousand near copies is compared with its hub, not with itself. Members not linked to
+their hub are then compared exactly with the whole family, in cells of bounded size. Links are confirmed on full sets;
+only links that join something new locally are emitted. Components come from label propagation with pointer jumping
+over written tables.
 
 A pair of similarity 0.8 collides in 51 of 64 coordinates on average; it has under 30 with probability below 1e-8.
 Sets are of 64-bit hashes. Rows with null or empty text have no shingles and are linked with nothing. A class's id is
@@ -84,23 +85,50 @@ def signatures(docs: DataFrame, size: int, coordinates: int = COORDINATES) -> Da
                     sig[full, j] = np.minimum.reduceat((every ^ flip[j]) * factor[j], start) >> np.uint64(32)
                 keys[0, full], keys[1, full] = np.add.reduceat(mix(every), start), np.add.reduceat(mix(every ^ flip[0]), start)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * coordinates, pa.int32()), pa.array(sig.reshape(-1).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(n, pa.int64()), pa.array(signed(keys[0])), pa.array(signed(keys[1])), lists], ["doc_id", "k1", "k2", "n", "a", "b", "sig"])
+            low = pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(n, pa.int64()), pa.array(signed(keys[0])), pa.array(signed(keys[1])), lists, low], ["doc_id", "k1", "k2", "n", "a", "b", "sig", "low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, k1 bigint, k2 bigint, n bigint, a bigint, b bigint, sig array<int>")
+    return docs.mapInArrow(run, f"doc_id {kind}, k1 bigint, k2 bigint, n bigint, a bigint, b bigint, sig array<int>, low binary")
 
 
-def families(classes: DataFrame, coordinates: int = COORDINATES, least: int = MATCHES) -> DataFrame:
-    """(hub, cid) of all candidates among classes(cid, sig), a hub with itself included."""
+def collided(lists: DataFrame, least: int) -> DataFrame:
+    """(hub, cid) of the classes of lists(key, cid, weight, low) that collide at least `least` times with others of a list."""
+
+    def run(batches):
+        for _, (cids, weights, lows) in groups(batches, ["key"], ["cid", "weight", "low"]):
+            low = np.frombuffer(b"".join(lows), np.uint8).reshape(len(cids), -1)
+            union = Union(len(cids))
+            for i in range(len(cids) - 1):
+                for j in np.flatnonzero((low[i] == low[i + 1 :]).sum(1) >= least):
+                    union.join(i, i + 1 + int(j))
+            joined: dict[int, list[int]] = {}
+            for i in range(len(cids)):
+                joined.setdefault(union.find(i), []).append(i)
+            out = []
+            for own in joined.values():
+                if len(own) > 1:
+                    hub = cids[max(own, key=lambda i: (weights[i], cids[i]))]
+                    out += [(hub, cids[i]) for i in own]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["hub", "cid"])
+
+    return lists.repartition("key").sortWithinPartitions("key").mapInArrow(run, "hub bigint, cid bigint")
+
+
+def families(classes: DataFrame, least: int = MATCHES, cell: int = CELL) -> DataFrame:
+    """(hub, cid) of all candidates among classes(cid, sig, low), a hub with itself included."""
     posted = classes.select("cid", F.posexplode("sig").alias("j", "v")).select("cid", (F.shiftleft(F.col("j").cast("bigint"), 32) + F.col("v").cast("bigint")).alias("key"))
     often = posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     own = posted.join(often, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared"))
     own = own.filter(F.size("shared") >= least)
     weight = F.aggregate("shared", F.lit(0).cast("bigint"), lambda a, x: a + x["df"])
-    prefix = own.select("cid", weight.alias("weight"), F.explode(F.slice("shared", F.lit(1), F.size("shared") - least + 1)).alias("x")).select("cid", "weight", "x.key")
-    prefix = shared.materialise(prefix, "prefix")
+    own = own.select("cid", weight.alias("weight"), F.slice("shared", F.lit(1), F.size("shared") - least + 1).alias("shared")).join(classes.select("cid", "low"), "cid")
+    prefix = shared.materialise(own.select("cid", "weight", "low", F.explode("shared").alias("x")).select("cid", "weight", "low", "x.key"), "prefix")
     hubs = prefix.groupBy("key").agg(F.max(F.struct("weight", "cid")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    return prefix.join(hubs.select("key", "hub.cid", "size").withColumnRenamed("cid", "hub"), "key").select("hub", "cid").distinct()
+    lists = prefix.join(hubs.select("key", F.col("hub.cid").alias("hub"), "size"), "key")
+    small = collided(lists.filter(F.col("size") <= cell).select("key", "cid", "weight", "low"), least)
+    return small.unionByName(lists.filter(F.col("size") > cell).select("hub", "cid")).distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -245,8 +273,8 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = SIMILAR)
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("k2"), text).alias("k2"))
     signed = shared.materialise(signatures(docs, size), "signatures")
-    sets = signed.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("k1", "k2")).alias("k"), F.first("sig").alias("sig"))
-    classes = shared.materialise(sets.select(F.col("a").alias("cid"), "rep", "k.k1", "k.k2", "sig"), "classes")
+    sets = signed.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("k1", "k2")).alias("k"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+    classes = shared.materialise(sets.select(F.col("a").alias("cid"), "rep", "k.k1", "k.k2", "sig", "low"), "classes")
     members = shared.materialise(families(classes), "families")
     wanted = classes.join(members.select("cid").distinct(), "cid").select("cid", "k1", "k2")
     held = shared.materialise(full_sets(docs, wanted, size), "sets")
