@@ -217,7 +217,7 @@ def solve_large(found: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
-    """(d, k1, lo, hi): byte ranges of docs(d, k1, text) covered by strings of `length` bytes that start elsewhere too."""
+    """(d, k1, ranges): byte ranges (lo, hi) of docs(d, k1, text) covered by strings of `length` bytes that start elsewhere too."""
     again = emit(docs, "keys", length, seed).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     places = shared.materialise(emit(docs, "places", length, seed, bit_table(again.select("key"))), "places")
     counts = shared.materialise(places.groupBy("key", "s").agg(F.count("*").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("size")), "segments")
@@ -231,8 +231,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bucket: int
     else:
         found = shared.materialise(found, "bytes")
         partial = solve(found.join(large, "key", "left_anti"), length).unionByName(solve_large(found.join(large, "key", "left_semi"), length))
-    ranges = whole.unionByName(partial).withColumnsRenamed({"lo": "from", "hi": "to"})
-    return places.join(ranges, ["key", "s"]).select("d", "k1", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
+    # one row for each different segment, so that its places are not multiplied
+    ranges = whole.unionByName(partial).groupBy("key", "s").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
+    at = places.select("key", "s", "d", "k1", "lo").join(ranges, ["key", "s"])
+    moved = F.transform("found", lambda r: F.struct((F.col("lo") + r["lo"]).alias("lo"), (F.col("lo") + r["hi"]).alias("hi")))
+    return at.select("d", "k1", moved.alias("moved")).groupBy("d", "k1").agg(F.flatten(F.collect_list("moved")).alias("ranges"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -243,8 +246,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans, kept as bytes) of every row of docs(doc_id, text)."""
     docs = keyed(docs)
-    ranges = repeats(docs.drop("doc_id"), length, seed).groupBy("d", "k1").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    joined = docs.join(ranges, ["d", "k1"], "left").select("doc_id", "text", "ranges")
+    joined = docs.join(repeats(docs.drop("doc_id"), length, seed), ["d", "k1"], "left").select("doc_id", "text", "ranges")
 
     def run(batches):
         for b in shared.slices(batches):
