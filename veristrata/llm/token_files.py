@@ -34,7 +34,6 @@ BLOCK = 512
 def to_dac(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(chunks, bitmap, rank directory) of each level; the bitmap's bit i is set where a chunk goes on."""
     levels = []
-    ids = ids.astype(np.uint64)
     while True:
         more = ids > 255
         bits = np.packbits(more, bitorder="little")
@@ -42,7 +41,7 @@ def to_dac(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         levels.append((ids.astype(np.uint8), bits, ranks))
         if not more.any():
             return levels
-        ids = ids[more] >> np.uint64(8)
+        ids = ids[more] >> np.uint32(8)
 
 
 def rank(bits: np.ndarray, ranks: np.ndarray, at: int) -> int:
@@ -75,7 +74,7 @@ def pack_file(doc_ids: list, ids: list[bytes]) -> bytes:
     offsets = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype("<u8")
     known = np.array([d is not None for d in doc_ids], np.uint8)
     parts = [known, np.array([d or 0 for d in doc_ids], "<i8"), offsets]
-    levels = to_dac(np.frombuffer(b"".join(ids), "<u4"))
+    levels = to_dac(np.frombuffer(b"".join(ids), np.uint32))
     for level in levels:
         parts += level
     sizes = np.array([p.nbytes for p in parts], "<u8")
