@@ -1,30 +1,6 @@
 """The registered queries of the engine and their SQL oracles."""
 
-from __future__ import annotations
+from veristrata.plans import decisions, duplicates, metrics, retrieval, streams, text  # noqa: F401
+from veristrata.registry import ORACLES, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "corpus_counts"
-
-
-def query(name: str, sql: str | None = None):
-    """Register a (spark, sf_dir) query under a name, with its oracle."""
-
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("corpus_counts", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
-def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").count().withColumnRenamed("count", "n")
+FLAGSHIP = "bm25_global_topk"
