@@ -39,14 +39,14 @@ def doc_frequency(spark, sf_dir):
 
 @query("sentence_stats", r"SELECT doc_id, len(s) AS sentences, list_max(list_transform(s, lambda x: length(x))) AS longest FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?।\n]+'), lambda x: trim(x)), lambda x: length(x) > 0) AS s FROM documents) WHERE len(s) > 0")
 def sentence_stats(spark, sf_dir):
-    s = F.filter(F.transform(F.split("text", r"[.!?।\n]+"), F.trim), lambda x: F.length(x) > 0)
+    s = F.filter(F.transform(F.split("text", r"[.!?।\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     d = table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).filter(F.size("s") > 0)
     return d.select("doc_id", F.size("s").cast("bigint").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("bigint").alias("longest"))
 
 
 @query("claims_top3", r"""WITH s AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM (SELECT doc_id, list_transform(regexp_split_to_array(text, '[.!?।\n]+'), lambda x: trim(x)) AS s FROM documents)), w AS (SELECT *, length(sentence) AS n FROM s WHERE len(regexp_extract_all(lower(sentence), '[\p{L}\p{N}_]+')) >= 4) SELECT doc_id, pos, sentence, rank FROM (SELECT doc_id, pos, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM w) WHERE rank <= 3""")
 def claims_top3(spark, sf_dir):
-    s = F.transform(F.split("text", r"[.!?।\n]+"), F.trim)
+    s = F.transform(F.split("text", r"[.!?।\n]+"), lambda x: F.trim(x))
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(s).alias("pos", "sentence")).filter(F.size(T.tokens(F.col("sentence"))) >= 4)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("sentence").desc(), "pos"))
     return d.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "sentence", rank.cast("bigint").alias("rank")).filter("rank <= 3")
