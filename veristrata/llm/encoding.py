@@ -32,6 +32,7 @@ def encoder(path: str, keep_white: bool):
     stop = "\n".translate(shown)
     (stop_id,) = words.encode(stop).ids
     cut = re.compile(RUNS if keep_white else r"[^ \n]+").findall
+    odd = re.compile("[\x1c-\x1f]").search  # white space to str.split(), but not to the library
     known: dict[str, bytes] = shared.worker_memory(f"runs of {path}")
 
     def put(found: dict, runs: list[str], library, line: str, end: int) -> None:
@@ -72,7 +73,7 @@ def encoder(path: str, keep_white: bool):
     def encode(texts: list[str]) -> list[bytes]:
         whole = {i: t for i, t in enumerate(texts) if any(s in t for s in special)}
         out = dict(zip(whole, (np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(list(whole.values()), add_special_tokens=False)), strict=True))
-        found = [() if i in whole else cut(t) for i, t in enumerate(texts)]
+        found = [() if i in whole else cut(t) if keep_white or odd(t) else t.split() for i, t in enumerate(texts)]
         new = learn(set().union(*found).difference(known))
         known.update(new)
         ids = [out[i] if i in out else b"".join(map(known.__getitem__, rs)) for i, rs in enumerate(found)]

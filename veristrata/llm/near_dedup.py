@@ -38,7 +38,7 @@ MAX_ROUNDS = 60
 
 class WordHashes(dict):
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

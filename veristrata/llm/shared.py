@@ -58,10 +58,17 @@ def slices(batches, size: int = 2000, most: int = 32 << 20):
 
 
 def worker_memory(name: str) -> dict:
-    """A dict that lives as long as the Python worker, over its tasks. It must only save time: results may not depend on it."""
+    """A dict that lives on in the Python worker over its tasks, until one of another name is asked for.
+
+    It must only save time: results may not depend on it.
+    """
     import sys
 
-    return sys.__dict__.setdefault("_veristrata_memory", {}).setdefault(name, {})
+    held = sys.__dict__.setdefault("_veristrata_memory", {})
+    if name not in held:
+        held.clear()
+        held[name] = {}
+    return held[name]
 
 
 #: The column that holds a whole row while an operator works beside it, so that no name of the row can clash.
