@@ -49,12 +49,12 @@ def hard_negatives(spark, sf_dir):
     return hits.filter(~F.contains("text", "item")).select("item_id", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("dense_topk", DENSE_SQL + " SELECT query_id, vec_id, round(score, 4) AS score, rank FROM dr WHERE rank <= 10")
+@query("dense_topk", DENSE_SQL + " SELECT query_id, vec_id, round(round(score, 6), 4) AS score, rank FROM dr WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
     return R.top_k(dense_scores(spark, sf_dir), ["query_id"], "vec_id", 10).select("query_id", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("maxp", DENSE_SQL + " SELECT query_id, label, round(max(score), 4) AS score FROM c GROUP BY ALL")
+@query("maxp", DENSE_SQL + " SELECT query_id, label, round(max(round(score, 6)), 4) AS score FROM c GROUP BY ALL")
 def maxp(spark, sf_dir):
     return dense_scores(spark, sf_dir).groupBy("query_id", "label").agg(F.round(F.max("score"), 4).alias("score"))
 
@@ -75,7 +75,7 @@ def weighted_fuse(spark, sf_dir):
     return R.weighted(best, "query_id", "dense", "other").select("query_id", "vec_id", F.round("score", 4).alias("score"))
 
 
-@query("semantic_leakage", DENSE_SQL + " SELECT query_id, round(max(score), 4) AS nearest, max(score) >= 0.9 AS leaked FROM c GROUP BY query_id")
+@query("semantic_leakage", DENSE_SQL + " SELECT query_id, round(max(round(score, 6)), 4) AS nearest, max(score) >= 0.9 AS leaked FROM c GROUP BY query_id")
 def semantic_leakage(spark, sf_dir):
     return dense_scores(spark, sf_dir).groupBy("query_id").agg(F.round(F.max("score"), 4).alias("nearest"), (F.max("score") >= 0.9).alias("leaked"))
 
