@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veristrata.llm import chat_format, decontaminate, license_scan, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts, token_files
+from veristrata.llm import chat_format, decontaminate, license_scan, near_dedup, oracles, packing, pii, quality_rules, substring_dedup, token_counts, token_files
 
 QUERIES = {
     "op3_chat_format": chat_format.op3_chat_format,
@@ -16,4 +16,5 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_license_scan": license_scan.op10_license_scan,
 }
-ORACLES: dict[str, str] = {}
+#: The others need a tokenizer, edit distances, fitted trees, bytes or components; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op1_quality_rules": oracles.QUALITY, "op9_decontamination": oracles.DECONTAMINATION}
