@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +84,23 @@ def as_row(df: DataFrame, **columns: Column) -> DataFrame:
 def from_row(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
     """The rows held in ROW with like's columns, some of them changed."""
     return df.select(*((changed[c] if c in changed else F.col(ROW).getField(c)).alias(c) for c in like.columns))
+
+
+#: Bits of a table of keys.
+BITS = 1 << 26
+
+
+def bit_table(keys: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A table in which the bit of each of keys(key) is set. Words, not keys, reach the driver: bits / 64 at most."""
+    bit = F.col("key").bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("v")).groupBy("w").agg(F.expr("bit_or(v)").alias("v"))
+    out = np.zeros(bits // 64, np.int64)
+    got = words.toArrow()
+    out[got.column("w").to_numpy()] = got.column("v").to_numpy()
+    return out.view(np.uint8)
+
+
+def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys (int64) have their bit set."""
+    bit = keys.view(np.uint64) & np.uint64(BITS - 1)
+    return (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

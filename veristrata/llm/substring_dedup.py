@@ -31,8 +31,8 @@ from veristrata.llm.near_dedup import groups, mix
 from veristrata.llm.suffix_groups import neighbours, suffix_array
 
 LENGTH, SEED = 200, 64
-#: Bytes of text looked at together (under half of PLACE), bits of the table of keys, and most segments of a bucket.
-PART, PLACE, BITS, BUCKET = 1 << 20, 1 << 22, 1 << 26, 20_000
+#: Bytes of text looked at together (under half of PLACE), and most segments of a bucket.
+PART, PLACE, BUCKET = 1 << 20, 1 << 22, 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -99,8 +99,7 @@ def emit(docs: DataFrame, want: str, length: int, seed: int, table: np.ndarray |
             for held in parts(texts, length):
                 key, own, lo, hi = segments(held, length, seed)
                 if table is not None:
-                    bit = key.view(np.uint64) & np.uint64(BITS - 1)
-                    keep = (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    keep = shared.in_table(table, key)
                     key, own, lo, hi = key[keep], own[keep], lo[keep], hi[keep]
                 if not len(key):
                     continue
@@ -122,16 +121,6 @@ def emit(docs: DataFrame, want: str, length: int, seed: int, table: np.ndarray |
     return docs.mapInArrow(run, fields)
 
 
-def bit_table(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """A table in which the bit of each of keys(key) is set. Words, not keys, reach the driver: bits / 64 at most."""
-    bit = F.col("key").bitwiseAND(F.lit(bits - 1))
-    words = keys.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("v")).groupBy("w").agg(F.expr("bit_or(v)").alias("v"))
-    out = np.zeros(bits // 64, np.int64)
-    got = words.toArrow()
-    out[got.column("w").to_numpy()] = got.column("v").to_numpy()
-    return out.view(np.uint8)
-
-
 def cuts(data: np.ndarray) -> np.ndarray:
     """Places before which a piece ends, by the four bytes before it; one in 24 or so."""
     x = np.zeros(len(data), np.uint32)
@@ -219,11 +208,11 @@ def solve_large(found: DataFrame, length: int) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
     """(d, k1, ranges): byte ranges (lo, hi) of docs(d, k1, text) covered by strings of `length` bytes that start elsewhere too."""
     again = emit(docs, "keys", length, seed).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    places = shared.materialise(emit(docs, "places", length, seed, bit_table(again.select("key"))), "places")
+    places = shared.materialise(emit(docs, "places", length, seed, shared.bit_table(again.select("key"))), "places")
     counts = shared.materialise(places.groupBy("key", "s").agg(F.count("*").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("size")), "segments")
     several = counts.groupBy("key").agg(F.count("*").alias("different")).filter("different > 1")
     several = shared.materialise(several, "buckets")
-    found = emit(docs, "bytes", length, seed, bit_table(several.select("key")))
+    found = emit(docs, "bytes", length, seed, shared.bit_table(several.select("key")))
     large = several.filter(F.col("different") > bucket)
     whole = counts.filter("n > 1").select("key", "s", F.lit(0).cast("bigint").alias("lo"), F.col("size").alias("hi"))
     if large.isEmpty():
