@@ -67,6 +67,19 @@ def coverage_curve(rows: DataFrame, points: int = 20) -> DataFrame:
     return grid.join(ranked, "at").select("point", (F.col("at") / F.col("n")).alias("coverage"), (F.col("right") / F.col("at")).alias("accuracy"))
 
 
+def lowering_edits(text: str) -> Column:
+    """Edit distance between a whole text and its lower case, in linear time for all but rare texts.
+
+    `gone` are the characters of the text that its lower case does not hold: each costs an edit. If the lower case is
+    as long and leaves all others alone, replacing just those gives it, so their number is the distance. Any other
+    text (one with a letter that lowers to two) takes the full table, whose memory grows with the length only.
+    """
+    t, low = F.col(text), F.lower(text)
+    gone = F.call_function("translate", t, low, F.lit(""))
+    rest = F.call_function("translate", t, gone, F.lit(""))
+    return F.when((F.length(low) == F.length(t)) & (F.lower(rest) == rest), F.length(gone)).otherwise(F.levenshtein(t, low))
+
+
 def retrieval_by_query(ranked: DataFrame, gold: DataFrame, query: str, key: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """rr, recall and success at ks of each query with gold; queries without hits count 0."""
     n = gold.groupBy(query).agg(F.count("*").alias("relevant"))

@@ -107,5 +107,5 @@ def cluster_consistency(spark, sf_dir):
 
 @query("cer_by_lang", "SELECT lang, round(sum(levenshtein(substr(text, 1, 60), lower(substr(text, 1, 60)))) / sum(length(substr(text, 1, 60))), 6) AS cer FROM documents GROUP BY lang")
 def cer_by_lang(spark, sf_dir):
-    head = F.substring("text", 1, 60)
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.round(F.sum(F.levenshtein(head, F.lower(head))) / F.sum(F.length(head)), 6).alias("cer"))
+    edits = M.lowering_edits("text").alias("edits")
+    return table(spark, sf_dir, "documents").select("lang", edits, F.length("text").alias("n")).groupBy("lang").agg(F.round(F.sum("edits") / F.sum("n"), 6).alias("cer"))
