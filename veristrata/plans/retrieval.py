@@ -64,9 +64,8 @@ def rrf_fuse(spark, sf_dir):
     scores = dense_scores(spark, sf_dir)
     first = R.top_k(scores, ["query_id"], "vec_id", 20)
     second = R.top_k(scores.withColumn("near", -F.abs(F.col("vec_id") - F.col("query_id"))), ["query_id"], "vec_id", 200, "near")
-    both = first.select("query_id", "vec_id").join(second.select("query_id", "vec_id"), ["query_id", "vec_id"])
     every = first.select("query_id", "vec_id", "rank").unionByName(second.select("query_id", "vec_id", "rank"))
-    return R.rrf(every.join(both, ["query_id", "vec_id"], "left_semi"), "query_id", "vec_id").select("query_id", "vec_id", F.round("score", 8).alias("score"))
+    return R.rrf(every, "query_id", "vec_id").select("query_id", "vec_id", F.round("score", 8).alias("score"))
 
 
 @query("weighted_fuse", DENSE_SQL + ", m AS (SELECT query_id, vec_id, score, abs(vec_id - query_id)::DOUBLE AS s2 FROM dr WHERE rank <= 20) SELECT query_id, vec_id, round(0.5 * round(score, 6) + 0.5 * (s2 - min(s2) OVER w) / (max(s2) OVER w - min(s2) OVER w), 4) AS score FROM m WINDOW w AS (PARTITION BY query_id)")
