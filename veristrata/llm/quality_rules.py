@@ -2,9 +2,9 @@
 
 Lines are normalised (white space collapsed, lower case) and hashed. Per host, each distinct line counts the distinct
 documents that hold it; documents with the same lines count once, so plain copies do not make their lines frequent.
-A line is over the limits in more than max_docs documents and more than max_share of the host's documents. Such lines
-are removed from all but one holder (the smallest fingerprint, with its copies), so that a repeated block keeps one
-home. A document left with less than min_left of its characters is depleted and rejected.
+A line is over the limits in more than max_docs documents of its host or, on small hosts, in more than max_share of
+them and more than min_docs. Such lines are removed from all but one holder (the smallest fingerprint, with its
+copies), so that a repeated block keeps one home. A document left with less than min_left of its characters is depleted and rejected.
 
 Everything is DataFrame functions. Documents of one host and fingerprint are merged before lines are exploded;
 counting combines before its shuffle, so neither a hot host nor a hot line gathers in one task.
@@ -24,6 +24,8 @@ from veristrata.llm import shared
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Limits of a line's frequency on a host, and the share of a document's characters that must stay.
 MAX_DOCS, MAX_SHARE, MIN_LEFT = 100, 0.25, 0.3
+#: So few documents never make a line frequent, however small their host is.
+MIN_DOCS = 10
 
 
 def words(text: Column) -> Column:
@@ -71,13 +73,14 @@ def fingerprint(marks: Column) -> Column:
     return F.xxhash64(F.array_sort(F.transform(marks, lambda m: m["h"])))
 
 
-def depleted(marked: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def depleted(marked: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, min_docs: int = MIN_DOCS) -> DataFrame:
     """(host, fp) of the depleted documents of marked(host, fp, marks)."""
     unique = marked.groupBy("host", "fp").agg(F.first("marks").alias("marks"))
     total = unique.groupBy("host").agg(F.count("*").alias("docs"))
     lines = unique.select("host", "fp", F.explode("marks").alias("m")).select("host", "fp", "m.h", "m.n")
     counted = lines.groupBy("host", "h").agg(F.count("*").alias("holders"), F.min("fp").alias("home"))
-    frequent = counted.filter(F.col("holders") > max_docs).join(total, "host").filter(F.col("holders") > max_share * F.col("docs"))
+    over = (F.col("holders") > max_docs) | (F.col("holders") > min_docs) & (F.col("holders") > max_share * F.col("docs"))
+    frequent = counted.filter(F.col("holders") > min(min_docs, max_docs)).join(total, "host").filter(over)
     removed = lines.join(frequent.select("host", "h", "home"), ["host", "h"]).filter(F.col("fp") != F.col("home"))
     removed = removed.groupBy("host", "fp").agg(F.sum("n").alias("removed"))
     size = F.aggregate("marks", F.lit(0).cast("bigint"), lambda a, m: a + m["n"])
