@@ -14,6 +14,7 @@ QUERIES = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op9_proximity": decontaminate.op9_proximity,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 #: The others need a tokenizer, edit distances, fitted trees, bytes or components; tests hold them against brute force.

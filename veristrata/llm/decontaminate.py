@@ -5,7 +5,11 @@ documents counts the words and the test terms; in each window the two terms rare
 A second pass stores postings of the anchor terms only: document, position, and the term numbers of the words around
 it. Joined with the items' anchors on the term, with positions adjusted by the anchor's offset, the lists of a
 window's two anchors are intersected by document and alignment; the stored surroundings then confirm the exact phrase.
-near() answers proximity queries from the same postings.
+
+proximity() finds passages with words put in, taken out or moved: a window of n words is near where n + 1 words in a
+row hold all of its words, or all but one if it has LOOSE or more. One more anchor than words may be missing stands
+in any such place, so postings of the anchors with the words around them decide it; windows with one word that the
+corpus lacks count too. It is a table of its own, since the columns of report() are fixed.
 
 Documents are named by a 128-bit hash of their text, so the postings of copies merge. Items are taken in blocks of at
 most BLOCK_WORDS words, which bounds what each task is sent, however many items there are.
@@ -16,6 +20,7 @@ item count once. Repeated document rows give one row each. An empty benchmark gi
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import repeat
 
 import numpy as np
@@ -29,6 +34,8 @@ WINDOW = 13
 #: A document is contaminated if n_hit * RATIO >= n_words (fixed by the contract).
 RATIO = 20
 BLOCK_WORDS = 2_000_000
+#: Windows of so many words are near a place that lacks one of them.
+LOOSE = 6
 
 
 def words_of(text: str) -> list[bytes]:
@@ -152,13 +159,67 @@ def matches(spark: SparkSession, docs: DataFrame, block: list[tuple[str, list[by
     return everyone, aligned.mapInArrow(confirm, "k1 bigint, k2 bigint, item_id string, lo bigint, hi bigint")
 
 
-def near(index: DataFrame, terms: list[int], within: int) -> DataFrame:
-    """k1, k2, pos of the first of terms wherever each other one stands at most `within` words away. Give the rarest first."""
-    found = index.filter(F.col("term") == terms[0]).select("k1", "k2", "pos")
-    for t in terms[1:]:
-        other = index.filter(F.col("term") == t).select("k1", "k2", F.col("pos").alias("p"))
-        found = found.join(other, ["k1", "k2"]).filter(F.abs(F.col("pos") - F.col("p")) <= within).select("k1", "k2", "pos").distinct()
-    return found
+def near(spark: SparkSession, docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int = WINDOW) -> DataFrame:
+    """(k1, k2, item_id, first_word) of keyed docs with a place near a window of an item; several rows a pair."""
+    terms = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in block for w in ws))}
+    items = [(name, [terms[w] for w in ws]) for name, ws in block]
+    counts = [0] * len(terms)
+    for r in counted(docs, terms).filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most a row for each test term
+        counts[r.term] = r.n
+    # per item: term -> starts of the windows of which it is an anchor
+    chosen: list[dict[int, list[int]]] = []
+    for _, ids in items:
+        own: dict[int, list[int]] = {}
+        size = min(window, len(ids))
+        spare = int(size >= LOOSE)
+        for at in range(len(ids) - size + 1):
+            there = sorted((t for t in ids[at : at + size] if counts[t]), key=lambda t: (counts[t], t))
+            if len(there) >= size - spare:
+                for t in dict.fromkeys(there[: spare + 1]):
+                    own.setdefault(t, []).append(at)
+        chosen.append(own)
+    places = [(t, i) for i, own in enumerate(chosen) for t in own]
+    schema = "k1 bigint, k2 bigint, item_id string, first_word bigint"
+    if not places:
+        return spark.createDataFrame([], schema)
+    names = list(terms)
+    lists = postings(docs, terms, {names[t] for t, _ in places}, window).join(spark.createDataFrame(places, "term bigint, item bigint"), "term")
+
+    def confirm(batches):
+        members = [frozenset(ids) for _, ids in items]
+        for b in shared.slices(batches):
+            rows = []
+            for r in b.to_pylist():
+                name, ids = items[r["item"]]
+                size = min(window, len(ids))
+                need = size - (size >= LOOSE)
+                around = np.frombuffer(r["ctx"], np.int32).tolist()
+                if sum(map(members[r["item"]].__contains__, around)) < need:
+                    continue
+                first = None
+                for at in chosen[r["item"]][r["term"]]:
+                    wanted = Counter(ids[at : at + size])
+                    for lo in range(max(window - size, window - r["pos"]), window + 1 if first is None else first):
+                        span = around[lo : lo + size + 1]
+                        if sum(min(n, span.count(t)) for t, n in wanted.items()) >= need:
+                            first = lo
+                            break
+                if first is not None:
+                    rows.append((r["k1"], r["k2"], name, r["pos"] - window + first))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["k1", "k2", "item_id", "first_word"])
+
+    return lists.select("k1", "k2", "term", "item", "pos", "ctx").mapInArrow(confirm, schema)
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, item_id and first_word (where the earliest near place begins) of every row of docs near a window of an item."""
+    spark, docs = docs.sparkSession, keyed(docs)
+    hits = spark.createDataFrame([], "k1 bigint, k2 bigint, item_id string, first_word bigint")
+    for block in blocks(benchmark, block_words):
+        hits = hits.unionByName(shared.materialise(near(spark, docs, block, window), "near"))
+    hits = hits.groupBy("k1", "k2", "item_id").agg(F.min("first_word").alias("first_word"))
+    return docs.drop("text").join(hits, ["k1", "k2"]).select("doc_id", "item_id", "first_word")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = RATIO, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -184,6 +245,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark")).drop("k1", "k2")
 
 
+def op9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches beside op9_decontamination's exact ones, as a table of (document, item)."""
+    return proximity(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that aren't contaminated, all columns as they are."""
     bad = shared.materialise(report(docs, benchmark, **options).filter("contaminated").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "contaminated")
