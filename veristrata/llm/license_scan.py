@@ -5,7 +5,8 @@ A notice of n characters may have k edits. Split into k + 1 pieces, at least one
 bounded-error matching then verifies the neighbourhood and reports span and edits.
 
 Null and empty texts have no words, empty label strings and score 0. Ties between spans of a notice go to fewer
-edits, then to the earlier span. Whole texts are searched; overlapping candidates are merged, none is dropped.
+edits, then to the earlier span. Whole texts are searched; neighbourhoods that
+overlap are merged, and searched again on both sides of each match.
 """
 
 from __future__ import annotations
@@ -77,11 +78,15 @@ class Scanner:
         for i, spans in self.windows(text).items():
             n, label, k = self.notices[i]
             for lo, hi in spans:
-                if hi - lo < len(n) - k:
-                    continue
-                for m in self.patterns[i].finditer(text, max(0, lo), min(len(text), hi)):
+                # the best match of a part, then what stands before and behind it
+                parts = [(max(0, lo), min(len(text), hi))]
+                while parts:
+                    lo, hi = parts.pop()
+                    if hi - lo < len(n) - k or not (m := self.patterns[i].search(text, lo, hi)):
+                        continue
                     edits = sum(m.fuzzy_counts)
                     found.append((m.start(), m.end(), label, edits, 1 - edits / len(n)))
+                    parts += [(lo, m.start()), (m.end(), hi)]
         return sorted(found)
 
 
