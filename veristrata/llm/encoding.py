@@ -1,9 +1,10 @@
-"""Token ids by the tokenizers library, run by run.
+"""Token ids by the tokenizers library, piece by piece.
 
-No pre-token of the two vocabularies reaches over the places where a text is cut into runs, so each run is encoded
-once and its ids stay in a bounded memory of the worker. Runs that are one plain word go to the library's model
-directly, many in a call; other runs go through the whole library, joined by a special token; a text that holds a
-special token's own string is encoded whole.
+No pre-token of the two vocabularies reaches from a character that is not white space into a space behind it, so texts
+are split at their spaces, each different piece of a batch is encoded once, and its ids are set in for all its places.
+Ids of single runs stay in a bounded memory of the worker. Plain words, taken apart from the punctuation behind them,
+go to the library's model directly, many in a call; other runs go through the whole library, joined by a special
+token; a text that holds a special token's own string is encoded whole.
 """
 
 from __future__ import annotations
@@ -11,16 +12,25 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from veristrata.llm import shared
-from veristrata.llm.token_counts import RUNS, byte_names
+from veristrata.llm.token_counts import RUNS, WHITE, byte_names
 
 #: Entries of a worker's memory of encoded runs; when it is full, later runs are forgotten after their batch.
 KNOWN = 1_000_000
+#: Runs that go to the library in a call.
+PART = 1024
+#: A word of letters that every normal form leaves alone, and ASCII punctuation that makes a pre-token of its own behind it.
+WORD = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ʯ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
-def encoder(path: str, keep_white: bool):
-    """A function from texts to their ids as little-endian uint32 bytes. keep_white: white space makes tokens."""
+def encoder(path: str, keep_white: bool, end_id: int | None = None):
+    """A function from an Arrow array of texts to (ids, offsets): uint32 ids of all texts, each followed by end_id.
+
+    keep_white: white space makes tokens.
+    """
     from tokenizers import Tokenizer, pre_tokenizers
 
     library = Tokenizer.from_file(path)
@@ -31,55 +41,100 @@ def encoder(path: str, keep_white: bool):
     shown = str.maketrans({chr(b): c for c, b in byte_names().items()})
     stop = "\n".translate(shown)
     (stop_id,) = words.encode(stop).ids
-    cut = re.compile(RUNS if keep_white else r"[^ \n]+").findall
-    odd = re.compile("[\x1c-\x1f]").search  # white space to str.split(), but not to the library
+    cut = re.compile(RUNS if keep_white else rf"[^{WHITE}]+").findall
     known: dict[str, bytes] = shared.worker_memory(f"runs of {path}")
+    end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
-    def put(found: dict, runs: list[str], library, line: str, end: int) -> None:
-        got = np.array(library.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(got == end) * 4
+    def put(found: dict, runs: list[str], tokenizer, line: str, stop: int) -> None:
+        got = np.array(tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(got == stop) * 4
         data = got.tobytes()
         found.update(zip(runs, map(data.__getitem__, map(slice, [0, *(ends + 4).tolist()], [*ends.tolist(), len(data)])), strict=True))
 
-    def plain(run: str) -> bool:
-        word = run[1:] if keep_white and run[0] == " " else run
-        return word.isalpha() and max(word) < "\u0300" and (keep_white or word.islower())
-
-    def learn(runs: set[str]) -> dict[str, bytes]:
-        """The ids of new runs. A word and the points or commas behind it are looked up apart; so is lower case, where all is."""
-        found: dict[str, bytes] = {}
-        made: list[tuple[str, str, str]] = []
-        some, rest = [], []
-        for r in runs:
-            low = r.lower() if not keep_white and r.isascii() else r
-            word = low.rstrip(".,")
-            if word and plain(word):
-                made.append((r, word, low[len(word) :]))
+    def look_up(pieces: list[str], single: bool = False) -> list[bytes]:
+        """The ids of pieces that are not known; single: each is one run."""
+        plan: list = []
+        some, rest = set(), set()
+        for p in pieces:
+            m = WORD(p if keep_white else p.lower() if p.isascii() else p)
+            if m and (keep_white or m[1].islower()):
+                plan.append(m.groups())
+                some.add(m[1])
+                if m[2]:
+                    rest.add(m[2])
+            elif single or len(runs := cut(p)) == 1:
+                plan.append((p, ""))
+                rest.add(p)
+            else:
+                plan.append(runs)
+        inner = {r for runs in plan if type(runs) is list for r in runs if r not in known}
+        found = dict(zip(inner, look_up(list(inner), True), strict=True)) if inner else {}
+        for runs, tokenizer, at_end in ((some, words, stop_id), (rest, library, mark_id)):
+            runs = [r for r in runs if r not in known]
+            for at in range(0, len(runs), PART):
+                part = runs[at : at + PART]
+                line = mark.join(part) if tokenizer is library else "\n".join(part).encode().decode("latin-1").translate(shown).replace(stop, f" {stop} ")
+                put(found, part, tokenizer, line, at_end)
+        out = []
+        for p in plan:
+            if type(p) is list:
+                out.append(b"".join([found[r] if r in found else known[r] for r in p]))
             else:
-                rest.append(r)
-        asked = known
-        some = [w for w in {w for _, w, _ in made} if w not in asked]
-        ends = [e for e in {e for _, _, e in made if e} if e not in asked]
-        for at in range(0, len(some), 8192):
-            part = some[at : at + 8192]
-            put(found, part, words, f" {stop} ".join([r.encode().decode("latin-1").translate(shown) for r in part]), stop_id)
-        for at in range(0, len(rest := [*rest, *ends]), 8192):
-            put(found, part := rest[at : at + 8192], library, mark.join(part), mark_id)
-        for r, word, end in made:
-            ids = found[word] if word in found else asked[word]
-            found[r] = ids + (found[end] if end in found else asked[end]) if end else ids
-        return found
+                word, tail = p
+                ids = found[word] if word in found else known[word]
+                out.append(ids + (found[tail] if tail in found else known[tail]) if tail else ids)
+        if len(known) < KNOWN:
+            known.update(found)
+            known.update((p, x) for p, x, how in zip(pieces, out, plan, strict=True) if type(how) is tuple)
+        return out
 
-    def encode(texts: list[str]) -> list[bytes]:
-        whole = {i: t for i, t in enumerate(texts) if any(s in t for s in special)}
-        out = dict(zip(whole, (np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(list(whole.values()), add_special_tokens=False)), strict=True))
-        found = [() if i in whole else cut(t) if keep_white or odd(t) else t.split() for i, t in enumerate(texts)]
-        new = learn(set().union(*found).difference(known))
-        known.update(new)
-        ids = [out[i] if i in out else b"".join(map(known.__getitem__, rs)) for i, rs in enumerate(found)]
-        if len(known) > KNOWN:
-            for r in new:
-                del known[r]
-        return ids
+    def encode(texts) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        n = len(texts)
+        hard = np.zeros(n, bool)
+        for s in special:
+            hard |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        whole = {int(i): np.array(e.ids, "<u4").tobytes() for i, e in zip(np.flatnonzero(hard), library.encode_batch_fast([texts[i].as_py() for i in np.flatnonzero(hard)], add_special_tokens=False))} if hard.any() else {}
+        if keep_white:
+            # a space behind other white space may share its pre-token: such texts are cut run by run
+            spaced = pc.match_substring_regex(texts, r"[\s\v\x{85}\p{Z}] ").to_numpy(zero_copy_only=False) & ~hard
+            at = np.flatnonzero(spaced).tolist()
+            whole |= zip(at, look_up([texts[i].as_py() for i in at]))
+            hard |= spaced
+        plain = pc.if_else(pa.array(hard), "", texts) if hard.any() else texts
+        split = pc.split_pattern(plain, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        pieces = split.flatten().dictionary_encode()
+        index = pieces.indices.to_numpy().astype(np.int64)
+        names = pieces.dictionary if not keep_white else pc.binary_join_element_wise(" ", pieces.dictionary, "")
+        names = names.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(known.get, names))
+        unknown = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(unknown, look_up([names[k] for k in unknown]), strict=True):
+            ids[k] = x
+        # what stands before the first space has none before it; whole texts stand there, too
+        first = [whole.get(i) for i in range(n)] if whole or keep_white else []
+        if keep_white:
+            heads = pieces.dictionary.take(pa.array(index[offsets[:-1]])).to_pylist()
+            at = [i for i in range(n) if first[i] is None]
+            for i, x in zip(at, look_up([heads[i] for i in at]), strict=True):
+                first[i] = x
+        for i, x in enumerate(first):
+            if x is not None:
+                index[offsets[i]] = len(ids)
+                ids.append(x)
+        if end:
+            index = np.insert(index, offsets[1:], len(ids))
+            offsets = offsets + np.arange(n + 1)
+            ids.append(end)
+        # the table's ids, set in for every place
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = np.frombuffer(b"".join(ids), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        size = sizes[index]
+        ends = np.r_[0, np.cumsum(size)]
+        places = np.repeat(starts[index] - ends[:-1], size)
+        places += np.arange(len(places))
+        return table[places], ends[offsets]
 
     return encode

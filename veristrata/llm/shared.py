@@ -72,6 +72,14 @@ def worker_memory(name: str) -> dict:
     return held[name]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: The column that holds a whole row while an operator works beside it, so that no name of the row can clash.
 ROW = "__row"
 

@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veristrata.llm import encoding, shared
@@ -29,6 +29,8 @@ END_ID = 0
 FILE_TOKENS = 8_000_000
 MAGIC = b"VSDAC001"
 BLOCK = 512
+#: Parts whose tokens are summed together, and most tasks that read files.
+BLOCK_PARTS, MOST_TASKS = 1024, 10_000
 
 
 def to_dac(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -69,12 +71,12 @@ def read_token(levels, at: int) -> int:
     return int(read_span(levels, at, at + 1)[0])
 
 
-def pack_file(doc_ids: list, ids: list[bytes]) -> bytes:
-    """The bytes of one file."""
-    offsets = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype("<u8")
+def pack_file(doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+    """The bytes of one file: documents of so many ids each, which stand end to end in uint32 ids."""
+    offsets = np.r_[0, np.cumsum(sizes)].astype("<u8")
     known = np.array([d is not None for d in doc_ids], np.uint8)
     parts = [known, np.array([d or 0 for d in doc_ids], "<i8"), offsets]
-    levels = to_dac(np.frombuffer(b"".join(ids), np.uint32))
+    levels = to_dac(ids)
     for level in levels:
         parts += level
     sizes = np.array([p.nbytes for p in parts], "<u8")
@@ -114,27 +116,33 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         import public_tokenizers
         from pyarrow import fs
 
-        encode = encoding.encoder(path or public_tokenizers.path(VOCABULARY), True)
+        encode = encoding.encoder(path or public_tokenizers.path(VOCABULARY), True, end_id)
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
-        doc_ids, ids, n, seq = [], [], 0, 0
+        part = TaskContext.get().partitionId()
+        doc_ids, sizes, ids, n, seq = [], [], [], 0, 0
 
         def flush():
             name = f"{base}/part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.dac"
             with store.open_output_stream(name) as out:
-                out.write(pack_file(doc_ids, ids))
+                out.write(pack_file(doc_ids, np.concatenate(sizes), np.concatenate(ids)))
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "n_docs": len(doc_ids), "n_tokens": n}])
 
-        for b in shared.slices(batches, 2000, 16 << 20):
-            for d, x in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
-                doc_ids.append(d)
-                ids.append(x + end)
-                n += len(x) // 4 + 1
+        for b in shared.slices(batches, 4000, 16 << 20):
+            own, (found, offsets) = b.column("doc_id").to_pylist(), encode(b.column("text"))
+            at = 0
+            while at < len(own):
+                # up to the document that fills the file
+                to = min(len(own), int(np.searchsorted(offsets, offsets[at] + file_tokens - n)))
+                doc_ids += own[at:to]
+                sizes.append(np.diff(offsets[at : to + 1]))
+                ids.append(found[offsets[at] : offsets[to]])
+                n += int(offsets[to] - offsets[at])
+                at = to
                 if n >= file_tokens:
                     yield flush()
-                    doc_ids, ids, n, seq = [], [], 0, seq + 1
-        if ids:
+                    doc_ids, sizes, ids, n, seq = [], [], [], 0, seq + 1
+        if n:
             yield flush()
 
     ranged = docs.select("doc_id", shared.text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -142,30 +150,37 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     return shared.materialise(ranged.mapInArrow(run, "part bigint, seq bigint, file string, n_docs bigint, n_tokens bigint"), "token-files")
 
 
-def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files.
+def with_bases(files: DataFrame) -> DataFrame:
+    """files(part, seq, n_tokens, ...) with `base`, the tokens of all files before: sums within parts, over parts within
+    blocks, and over blocks, so that no task orders more than a part's files or BLOCK_PARTS parts; blocks are few."""
+    block = F.floor(F.col("part") / BLOCK_PARTS).alias("block")
+    parts = files.groupBy("part", block).agg(F.sum("n_tokens").alias("n"))
+    blocks = parts.groupBy("block").agg(F.sum("n").alias("n"))
+    before = lambda of, w: F.sum(of).over(w) - F.col(of)
+    blocks = blocks.select("block", before("n", Window.orderBy("block")).alias("block_base"))
+    parts = parts.select("part", "block", before("n", Window.partitionBy("block").orderBy("part")).alias("part_base"))
+    bases = parts.join(blocks, "block").select("part", (F.col("part_base") + F.col("block_base")).alias("part_base"))
+    own = before("n_tokens", Window.partitionBy("part").orderBy("seq"))
+    return files.withColumn("own", own).join(bases, "part").withColumn("base", F.col("own") + F.col("part_base")).drop("own", "part_base")
 
-    Only the list of files goes through the driver: a row for each FILE_TOKENS tokens or task.
-    """
-    found = files.orderBy("part", "seq").collect()
-    bases = np.r_[0, np.cumsum([f.n_tokens for f in found])].tolist()
-    listed = [(f.file, base) for f, base in zip(found, bases)]
-    if not listed:
-        return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files. The list of files stays a table."""
 
     def run(batches):
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(folder)
         for b in batches:
-            for at in b.column("id").to_pylist():
-                name, base = listed[at]
+            for name, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist()):
                 with store.open_input_file(name) as f:
                     file = DacFile(f.read_buffer())
                 crc = [zlib.crc32(file.document(n).astype("<u4").tobytes()) for n in range(len(file.doc_ids))]
                 yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(file.offsets[:-1] + base), pa.array(np.diff(file.offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(listed), 1, len(listed)).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # a task for each file, as long as they are few
+    listed = with_bases(files).select("file", "base").repartition(max(1, min(files.count(), MOST_TASKS)))
+    return listed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
