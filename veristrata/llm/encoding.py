@@ -19,7 +19,7 @@ from veristrata.llm import shared
 from veristrata.llm.token_counts import RUNS, WHITE, byte_names
 
 #: Entries of a worker's memory of encoded runs; when it is full, later runs are forgotten after their batch.
-KNOWN = 1_000_000
+KNOWN = 500_000
 #: Runs that go to the library in a call.
 PART = 1024
 #: A word of letters that every normal form leaves alone, and ASCII punctuation that makes a pre-token of its own behind it.
@@ -105,7 +105,7 @@ def encoder(path: str, keep_white: bool, end_id: int | None = None):
         split = pc.split_pattern(plain, " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         pieces = split.flatten().dictionary_encode()
-        index = pieces.indices.to_numpy().astype(np.int64)
+        index = pieces.indices.to_numpy().copy()
         names = pieces.dictionary if not keep_white else pc.binary_join_element_wise(" ", pieces.dictionary, "")
         names = names.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(known.get, names))
@@ -127,14 +127,16 @@ def encoder(path: str, keep_white: bool, end_id: int | None = None):
             index = np.insert(index, offsets[1:], len(ids))
             offsets = offsets + np.arange(n + 1)
             ids.append(end)
-        # the table's ids, set in for every place
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        # the table's ids, set in for every place; a batch has far fewer than 2**31 of them
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         table = np.frombuffer(b"".join(ids), "<u4")
-        starts = np.cumsum(sizes) - sizes
+        del split, pieces, names, ids
         size = sizes[index]
-        ends = np.r_[0, np.cumsum(size)]
-        places = np.repeat(starts[index] - ends[:-1], size)
-        places += np.arange(len(places))
+        ends = np.r_[0, np.cumsum(size, dtype=np.int64)]
+        shift = (np.cumsum(sizes, dtype=np.int32) - sizes)[index] - ends[:-1].astype(np.int32)
+        places = np.repeat(shift, size)
+        del shift, size, index
+        places += np.arange(len(places), dtype=np.int32)
         return table[places], ends[offsets]
 
     return encode
