@@ -18,4 +18,4 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
 }
 #: The others need a tokenizer, edit distances, fitted trees, bytes or components; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op1_quality_rules": oracles.QUALITY, "op9_decontamination": oracles.DECONTAMINATION}
+ORACLES: dict[str, str] = {"op1_quality_rules": oracles.quality(quality_rules.MAX_DOCS, quality_rules.MIN_DOCS, quality_rules.MAX_SHARE, quality_rules.MIN_LEFT), "op9_decontamination": oracles.DECONTAMINATION}

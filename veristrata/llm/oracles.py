@@ -1,7 +1,4 @@
-"""DuckDB SQL of the operators that SQL can express.
-
-Which holder of an over-frequent line keeps it is settled by another hash here; no such line is in the tables checked.
-"""
+"""DuckDB SQL of the operators that SQL can express."""
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = rf"list_filter(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -28,13 +25,18 @@ c AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([p, p + 1, p + 2])
 b AS (SELECT r, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (r)),
 l AS (SELECT r, source, list_sort(list_distinct(list_transform(ls, lambda x: lower(regexp_replace(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g'))))) AS lines FROM w JOIN d USING (r)),
-u AS (SELECT DISTINCT source, lines FROM l),
-x AS (SELECT source, lines, unnest(lines) AS line FROM u),
-f AS (SELECT source, line, count(*) AS holders, min(md5(array_to_string(lines, chr(10)))) AS home FROM x GROUP BY ALL),
+v AS (SELECT r, source, lines, ('0x' || substr(md5(array_to_string(lines, chr(10))), 1, 15))::BIGINT AS fp FROM l),
+u AS (SELECT DISTINCT source, fp, lines FROM v),
+x AS (SELECT source, fp, unnest(lines) AS line FROM u),
+f AS (SELECT source, line, count(*) AS holders, min(fp) AS home FROM x GROUP BY ALL),
 z AS (SELECT source, count(*) AS docs FROM u GROUP BY source),
-o AS (SELECT x.source, x.lines, sum(length(x.line)) AS removed FROM x JOIN f ON x.source IS NOT DISTINCT FROM f.source AND x.line = f.line JOIN z ON z.source IS NOT DISTINCT FROM f.source
-  WHERE holders > 100 AND holders > 0.25 * docs AND md5(array_to_string(x.lines, chr(10))) <> home GROUP BY ALL),
-gone AS (SELECT source, lines FROM o WHERE list_sum(list_transform(lines, lambda y: length(y))) - removed < 0.3 * list_sum(list_transform(lines, lambda y: length(y))))
+o AS (SELECT x.source, x.fp, sum(length(x.line)) AS removed FROM x JOIN f ON x.source IS NOT DISTINCT FROM f.source AND x.line = f.line JOIN z ON z.source IS NOT DISTINCT FROM f.source
+  WHERE (holders > {max_docs} OR (holders > {min_docs} AND holders > {max_share} * docs)) AND x.fp <> home GROUP BY ALL),
+gone AS (SELECT u.source, u.fp FROM o JOIN u ON u.source IS NOT DISTINCT FROM o.source AND u.fp = o.fp WHERE list_sum(list_transform(lines, lambda y: length(y))) - removed < {min_left} * list_sum(list_transform(lines, lambda y: length(y))))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.source IS NOT DISTINCT FROM l.source AND gone.lines = l.lines) AS kept
-FROM d JOIN b USING (r) JOIN l USING (r)"""
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.source IS NOT DISTINCT FROM v.source AND gone.fp = v.fp) AS kept
+FROM d JOIN b USING (r) JOIN v USING (r)"""
+
+
+def quality(max_docs: int, min_docs: int, max_share: float, min_left: float) -> str:
+    return QUALITY.replace("{max_docs}", str(max_docs)).replace("{min_docs}", str(min_docs)).replace("{max_share}", str(max_share)).replace("{min_left}", str(min_left))

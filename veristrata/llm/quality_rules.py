@@ -3,8 +3,9 @@
 Lines are normalised (white space collapsed, lower case) and hashed. Per host, each distinct line counts the distinct
 documents that hold it; documents with the same lines count once, so plain copies do not make their lines frequent.
 A line is over the limits in more than max_docs documents of its host or, on small hosts, in more than max_share of
-them and more than min_docs. Such lines are removed from all but one holder (the smallest fingerprint, with its
-copies), so that a repeated block keeps one home. A document left with less than min_left of its characters is depleted and rejected.
+them and more than min_docs. Such lines are removed from all but one holder (that with the smallest number of its
+lines, with its copies), so that a repeated block keeps one home and near copies of a document keep one of them. A
+document left with less than min_left of its characters is depleted and rejected.
 
 Everything is DataFrame functions. Documents of one host and fingerprint are merged before lines are exploded;
 counting combines before its shuffle, so neither a hot host nor a hot line gathers in one task.
@@ -58,10 +59,12 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed).drop("_t", "_w", "_h", "_s", "_p")
 
 
-def line_marks(lines: Column) -> Column:
-    """Distinct (hash, characters) of normalised lines."""
-    clean = F.transform(lines, lambda x: F.lower(F.regexp_replace(F.btrim(x, F.lit(shared.SPACE_CHARS)), shared.SPACES, " ")))
-    return F.array_distinct(F.transform(clean, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))
+def with_lines(df: DataFrame) -> DataFrame:
+    """df with _marks, the (hash, characters) of the distinct normalised lines of _lines, and _fp, a number of them all."""
+    clean = F.transform("_lines", lambda x: F.lower(F.regexp_replace(F.btrim(x, F.lit(shared.SPACE_CHARS)), shared.SPACES, " ")))
+    df = df.withColumn("_lines", F.array_sort(F.array_distinct(clean)))
+    fp = F.conv(F.substring(F.md5(F.array_join("_lines", "\n")), 1, 15), 16, 10).cast("bigint")
+    return df.withColumns({"_marks": F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))), "_fp": fp})
 
 
 def host_key(host: str) -> Column:
@@ -69,10 +72,6 @@ def host_key(host: str) -> Column:
     return F.when(F.col(host).isNull(), "").otherwise(F.concat(F.lit("="), F.col(host).cast("string")))
 
 
-def fingerprint(marks: Column) -> Column:
-    return F.xxhash64(F.array_sort(F.transform(marks, lambda m: m["h"])))
-
-
 def depleted(marked: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, min_docs: int = MIN_DOCS) -> DataFrame:
     """(host, fp) of the depleted documents of marked(host, fp, marks)."""
     unique = marked.groupBy("host", "fp").agg(F.first("marks").alias("marks"))
@@ -90,13 +89,14 @@ def depleted(marked: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX
 def judge(docs: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
     """docs' columns but the text (those named like a result give way to it), with the base counts, base_failed and kept. Texts are read once; what stays of them is written."""
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    kept = [c for c in docs.columns if c != text and c not in made]
-    based = with_base(docs.withColumn("_host", host_key(host)), text).withColumn("_marks", line_marks(F.col("_lines")))
-    based = shared.materialise(based.withColumn("_fp", fingerprint(F.col("_marks"))).drop(text, "_lines"), "quality")
+    own = [c for c in docs.columns if c != text and c not in made]
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(own))).alias(shared.ROW)
+    held = docs.select(row, host_key(host).alias("_host"), F.col(f"`{text}`").alias("_text"))
+    based = shared.materialise(with_lines(with_base(held, "_text")).drop("_text", "_lines"), "quality")
     gone = shared.materialise(depleted(based.select(F.col("_host").alias("host"), F.col("_fp").alias("fp"), F.col("_marks").alias("marks")), **limits), "depleted")
     gone = gone.select(F.col("host").alias("_host"), F.col("fp").alias("_fp"), F.lit(True).alias("_gone"))
     judged = based.join(gone, ["_host", "_fp"], "left").withColumn("kept", ~F.col("base_failed") & F.col("_gone").isNull())
-    return judged.select(*kept, *made)
+    return judged.select(*(F.col(shared.ROW)[f"c{n}"].alias(c) for n, c in enumerate(own)), *made)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", **limit
     away by an anti-join, which the planner broadcasts only if that size allows.
     """
     held = shared.as_row(docs, _host=host_key(host), _text=F.col(text))
-    based = with_base(held, "_text").withColumn("_marks", line_marks(F.col("_lines"))).withColumn("_fp", fingerprint(F.col("_marks")))
+    based = with_lines(with_base(held, "_text"))
     gone = shared.materialise(depleted(based.select(F.col("_host").alias("host"), F.col("_fp").alias("fp"), F.col("_marks").alias("marks")), **limits), "depleted")
     gone = gone.select(F.col("host").alias("_host"), F.col("fp").alias("_fp"))
     # the row's number keeps the filter and the join above the counts, whose arrays would else be made again for each element
