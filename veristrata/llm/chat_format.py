@@ -7,11 +7,12 @@ over its assistant texts. Everything is DataFrame functions.
 
 Template, for each turn: <|im_start|>role, newline, text, <|im_end|>, newline. In texts and roles each control string
 gets a backslash after its first character (one more, if it has some), which unescape() takes away again; in roles,
-newlines and backslashes are written as \\n and \\\\.
+newlines and backslashes are written as \\n and \\s.
 
 Null texts and roles are empty. Rows that repeat a turn of a conversation all stay, ordered by role and text. Null
 conv_ids are one conversation; null turns come first. A parent that isn't there makes its message a root. Messages
-on a cycle have no root and belong to no path. An empty table gives an empty result.
+on a cycle, or below one, have no root and belong to no path. Of rows that repeat a node, the one with the smallest
+parent, role and text stays. Branches of equal score rank by leaf. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from veristrata.llm import shared
 #: Strings that a text must not bring into the output (fixed values).
 CONTROL = r"(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\]|/?SYS>>)"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-#: Joins after which enumeration stops: paths of up to 2**MAX_JOINS messages.
-MAX_JOINS = 40
 
 
 def escape(text: Column) -> Column:
@@ -37,13 +36,12 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(F.replace(escape(role), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return F.replace(F.replace(escape(role), F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n"))
 
 
 def unescape_role(role: Column) -> Column:
-    # a pair of backslashes is held by a character that no role is left with meanwhile
-    held = F.replace(F.replace(role, F.lit("\\\\"), F.lit("\x00\x01")), F.lit("\\n"), F.lit("\n"))
-    return unescape(F.replace(held, F.lit("\x00\x01"), F.lit("\\")))
+    # an escaped role has no backslash but before s or n
+    return unescape(F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\")))
 
 
 def paths(messages: DataFrame) -> DataFrame:
@@ -51,27 +49,29 @@ def paths(messages: DataFrame) -> DataFrame:
     nodes = messages.select("node", "parent")
     known = nodes.select(F.col("node").alias("parent")).distinct()
     # a parent that isn't there counts as none
-    reach = shared.materialise(nodes.join(known, "parent", "left_semi").select("node", F.col("parent").alias("up")), "reach")
-    leaves = nodes.join(reach.select(F.col("up").alias("node")).distinct(), "node", "left_anti")
-    found = shared.materialise(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).alias("dist")), "paths")
-    roots = nodes.join(reach, "node", "left_anti").select("node")
-    for k in range(MAX_JOINS):
-        # up stands 2**k above node
-        if reach.isEmpty():
-            break
-        more = found.join(reach, "node").select("leaf", F.col("up").alias("node"), (F.col("dist") + 2**k).alias("dist"))
+    reach = [shared.materialise(nodes.join(known, "parent", "left_semi").select("node", F.col("parent").alias("up")), "reach")]
+    leaves = nodes.join(reach[0].select(F.col("up").alias("node")).distinct(), "node", "left_anti")
+    total = nodes.count()
+    # reach[k] holds who stands 2**k above whom: at most a row for each node, and none above a root
+    while not reach[-1].isEmpty() and 2 ** (len(reach) - 1) <= total:
+        far = reach[-1].select(F.col("node").alias("up"), F.col("up").alias("top"))
+        reach.append(shared.materialise(reach[-1].join(far, "up").select("node", F.col("top").alias("up")), "reach"))
+    # who still has someone above after as many steps as there are nodes hangs on a cycle
+    found = leaves.join(reach.pop(), "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).alias("dist"))
+    for k, up in enumerate(reach):
+        more = found.join(up, "node").select("leaf", F.col("up").alias("node"), (F.col("dist") + 2**k).alias("dist"))
         found = shared.materialise(found.unionByName(more), "paths")
-        far = reach.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        reach = shared.materialise(reach.join(far, "up").select("node", F.col("top").alias("up")), "reach")
-    rooted = found.join(roots, "node", "left_semi").select("leaf").distinct()
-    return found.join(rooted, "leaf", "left_semi")
+    return found
 
 
 def format_trees(messages: DataFrame, top: int | None = None) -> DataFrame:
     """conv_id, leaf, score, n_turns, formatted and loss (spans of assistant texts, in code points of formatted).
 
-    messages: conv_id, node (unique), parent (null at a root), role, text, score. top: branches of each conversation.
+    messages: conv_id, node, parent (null at a root), role, text, score. A branch scores the mean of its messages'
+    scores (null ones left out). top: how many branches of each conversation are formatted, best first.
     """
+    first = F.min(F.struct("parent", "role", "text", "conv_id", "score")).alias("m")
+    messages = shared.materialise(messages.groupBy("node").agg(first).select("node", "m.*"), "messages")
     on_path = paths(messages)
     said = messages.select("conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")
     turn = F.struct((-F.col("dist")).alias("at"), "role", "text")
@@ -105,18 +105,18 @@ def read_loss(formatted: Column, loss: Column) -> Column:
 
 
 def chain(turns: DataFrame) -> DataFrame:
-    """Messages from rows (conv_id, turn, role, text): each answers the one before it in its conversation."""
+    """Messages from rows (conv_id, turn, role, text): each answers the one before it in its conversation, and scores its length."""
     at = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = turns.withColumn("at", F.row_number().over(at))
     node = lambda n: F.struct("conv_id", n.alias("at"))
-    return numbered.select("conv_id", node(F.col("at")).alias("node"), F.when(F.col("at") > 1, node(F.col("at") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return numbered.select("conv_id", node(F.col("at")).alias("node"), F.when(F.col("at") > 1, node(F.col("at") - 1)).alias("parent"), "role", "text", F.length("text").cast("double").alias("score"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
     told = shared.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     told = told.union(spark.createDataFrame(own, "conv_id bigint, turn bigint, role string, text string"))
-    done = shared.materialise(format_trees(shared.materialise(chain(told), "messages")), "chats")
+    done = shared.materialise(format_trees(chain(told), top=1), "chats")
     read = done.withColumns({"_turns": read_turns(F.col("formatted")), "_loss": F.array_join(read_loss(F.col("formatted"), F.col("loss")), "")})
     digest = F.sha2(F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
     return read.select("conv_id", F.size("_turns").cast("bigint").alias("n_turns"), digest.alias("turns_sha256"), F.length("_loss").cast("bigint").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
