@@ -5,14 +5,15 @@ Equal windows have equal keys, at one distance. Runs of windows whose key stands
 counted by key, and a segment whose key stands alone is left at once.
 Equal segments are dealt with by counting. Different segments of one key meet in a bucket: they are cut into pieces
 where four bytes say so, pieces become symbols, and the suffix array of the symbols (Lyndon grouping, linear time)
-shows how far each piece's suffix agrees with its neighbours in order. Windows whose whole pieces lie within that
-agreement are compared byte by byte. A bucket of more than BUCKET different segments is not gathered: its windows are
-hashed and counted in the cluster, which finds the same.
+gives the groups of suffixes that agree in so many pieces. Windows repeat if they begin with pieces of one group and
+the bytes before the first and behind the last whole piece are equal too. A bucket of more than BUCKET different
+segments is not gathered: its windows are hashed and counted in the cluster, which finds the same.
 
-Before locations and bytes are shuffled, a bit table of fixed size takes away most keys that occur once; it only
-saves work. Each document's repeated ranges are joined back to its text.
+Before locations and bytes are shuffled, a bit table of fixed size takes away most keys that occur once; of more keys
+than fill a quarter of it, a semi-join takes them away. Segments with more than HOT places are joined to them in SALTS
+parts. Each document's repeated ranges are joined back to its text.
 
-Null and empty texts have 0 bytes. Rows that repeat a document count as further places. Texts of any length are
+Null and empty texts have 0 bytes; an empty table gives an empty result. Rows that repeat a document count as further places. Texts of any length are
 read in parts of bounded size; windows on either side of a part's end are all seen once.
 """
 
@@ -33,6 +34,8 @@ from veristrata.llm.suffix_groups import neighbours, suffix_array
 LENGTH, SEED = 200, 64
 #: Bytes of text looked at together (under half of PLACE), and most segments of a bucket.
 PART, PLACE, BUCKET = 1 << 20, 1 << 22, 20_000
+#: Places of a segment over which it is dealt to several tasks, and to how many.
+HOT, SALTS = 50_000, 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -147,11 +150,14 @@ def repeated_windows(segs: list[bytes], length: int = LENGTH) -> list[list[tuple
         symbols.append(i)  # an end of its own
         where.append(-1)
     order = suffix_array(symbols)
-    common = neighbours(symbols, order)
-    agree = [0] * len(symbols)
-    for r, i in enumerate(order):
-        agree[i] = max(common[r], common[r - 1] if r else 0)
-    counts: dict[bytes, int] = {}
+    common = np.array(neighbours(symbols, order)[: len(order) - 1], np.int64)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    rank = rank.tolist()
+    # the group of each rank among suffixes that agree in m pieces: it changes where neighbours agree in fewer
+    agreeing: dict[int, list[int]] = {}
+    alone = np.maximum(np.r_[common, 0], np.r_[0, common]).tolist()
+    counts: dict[tuple, int] = {}
     asked = []
     for i, s in enumerate(segs):
         # the cuts that lie in the window, with the four bytes that they come from
@@ -161,11 +167,19 @@ def repeated_windows(segs: list[bytes], length: int = LENGTH) -> list[list[tuple
                 at += 1
             while last + 1 < len(c) and c[last + 1] <= p + length:
                 last += 1
-            # piece at + 1 begins at cut at
-            if last <= at or agree[first[i] + at + 1] >= last - at:
-                w = s[p : p + length]
-                counts[w] = counts.get(w, 0) + 1
-                asked.append((i, p, w))
+            whole = last - at
+            if whole > 0:
+                # piece at + 1 begins at cut at
+                r = rank[first[i] + at + 1]
+                if alone[r] < whole:
+                    continue
+                if whole not in agreeing:
+                    agreeing[whole] = np.r_[0, np.cumsum(common < whole)].tolist()
+                w = (whole, agreeing[whole][r], s[p : c[at]], s[c[last] : p + length])
+            else:
+                w = (s[p : p + length],)
+            counts[w] = counts.get(w, 0) + 1
+            asked.append((i, p, w))
     out: list[list] = [[] for _ in segs]
     for i, p, w in asked:
         if counts[w] > 1:
@@ -205,14 +219,42 @@ def solve_large(found: DataFrame, length: int) -> DataFrame:
     return every.join(twice, "w").select("key", "s", "lo", (F.col("lo") + length).alias("hi"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
+def salted(df: DataFrame, hot: DataFrame, salts: int, spread: bool) -> DataFrame:
+    """df(key, ...) with a salt: 0, but of keys that share their bit with one of hot(key) a random one or, to spread rows, each."""
+    table = shared.bit_table(hot)
+    names = [*df.columns, "salt"]
+
+    def run(batches):
+        rng = np.random.default_rng(7)
+        for b in batches:
+            heavy = shared.in_table(table, b.column("key").to_numpy())
+            if spread:
+                times = np.where(heavy, salts, 1)
+                row = np.repeat(np.arange(b.num_rows), times)
+                b, salt = b.take(pa.array(row)), np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            else:
+                salt = np.where(heavy, rng.integers(0, salts, b.num_rows), 0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(salt, pa.int64())], names)
+
+    return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", salt bigint")
+
+
+def having(docs: DataFrame, want: str, keys: DataFrame, length: int, seed: int, bits: int) -> DataFrame:
+    """Segments whose key is in the table keys(key), and some others."""
+    if keys.count() <= bits // 4:
+        return emit(docs, want, length, seed, shared.bit_table(keys))
+    return emit(docs, want, length, seed).join(keys, "key", "left_semi")
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bucket: int = BUCKET, hot: int = HOT, bits: int = shared.BITS) -> DataFrame:
     """(d, k1, ranges): byte ranges (lo, hi) of docs(d, k1, text) covered by strings of `length` bytes that start elsewhere too."""
-    again = emit(docs, "keys", length, seed).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    places = shared.materialise(emit(docs, "places", length, seed, shared.bit_table(again.select("key"))), "places")
+    again = emit(docs, "keys", length, seed).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    again = shared.materialise(again, "repeated-keys")
+    places = shared.materialise(having(docs, "places", again, length, seed, bits), "places")
     counts = shared.materialise(places.groupBy("key", "s").agg(F.count("*").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("size")), "segments")
     several = counts.groupBy("key").agg(F.count("*").alias("different")).filter("different > 1")
     several = shared.materialise(several, "buckets")
-    found = emit(docs, "bytes", length, seed, shared.bit_table(several.select("key")))
+    found = having(docs, "bytes", several.select("key"), length, seed, bits)
     large = several.filter(F.col("different") > bucket)
     whole = counts.filter("n > 1").select("key", "s", F.lit(0).cast("bigint").alias("lo"), F.col("size").alias("hi"))
     if large.isEmpty():
@@ -222,7 +264,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bucket: int
         partial = solve(found.join(large, "key", "left_anti"), length).unionByName(solve_large(found.join(large, "key", "left_semi"), length))
     # one row for each different segment, so that its places are not multiplied
     ranges = whole.unionByName(partial).groupBy("key", "s").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
-    at = places.select("key", "s", "d", "k1", "lo").join(ranges, ["key", "s"])
+    places = places.select("key", "s", "d", "k1", "lo")
+    heavy = counts.filter(F.col("n") > hot).select("key").distinct()
+    if heavy.isEmpty():
+        at = places.join(ranges, ["key", "s"])
+    else:
+        heavy = shared.materialise(heavy, "hot")
+        at = salted(places, heavy, SALTS, False).join(salted(ranges, heavy, SALTS, True), ["key", "s", "salt"])
     moved = F.transform("found", lambda r: F.struct((F.col("lo") + r["lo"]).alias("lo"), (F.col("lo") + r["hi"]).alias("hi")))
     return at.select("d", "k1", moved.alias("moved")).groupBy("d", "k1").agg(F.flatten(F.collect_list("moved")).alias("ranges"))
 
@@ -232,10 +280,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("bigint").alias("d"), F.xxhash64(text).alias("k1"), text.alias("text"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_text: bool = False, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans, kept as bytes) of every row of docs(doc_id, text)."""
     docs = keyed(docs)
-    joined = docs.join(repeats(docs.drop("doc_id"), length, seed), ["d", "k1"], "left").select("doc_id", "text", "ranges")
+    joined = docs.join(repeats(docs.drop("doc_id"), length, seed, **options), ["d", "k1"], "left").select("doc_id", "text", "ranges")
 
     def run(batches):
         for b in shared.slices(batches):
