@@ -33,7 +33,7 @@ from veristrata.llm import shared
 WINDOW = 13
 #: A document is contaminated if n_hit * RATIO >= n_words (fixed by the contract).
 RATIO = 20
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 #: Windows of so many words are near a place that lacks one of them.
 LOOSE = 6
 
@@ -134,7 +134,8 @@ def matches(spark: SparkSession, docs: DataFrame, block: list[tuple[str, list[by
         return everyone, spark.createDataFrame([], "k1 bigint, k2 bigint, item_id string, lo bigint, hi bigint")
     names = list(terms)
     index = postings(docs, terms, {names[t] for t, _, _ in places}, window - 1)
-    lists = index.join(spark.createDataFrame(places, "term bigint, item bigint, at bigint"), "term")
+    # at most two places for each word of the block, so they are broadcast and no term's postings meet in one task
+    lists = index.join(F.broadcast(spark.createDataFrame(places, "term bigint, item bigint, at bigint")), "term")
     aligned = lists.groupBy("item", "k1", "k2", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_list(F.struct("at", "ctx")).alias("hits"))
 
     def confirm(batches):
@@ -183,7 +184,7 @@ def near(spark: SparkSession, docs: DataFrame, block: list[tuple[str, list[bytes
     if not places:
         return spark.createDataFrame([], schema)
     names = list(terms)
-    lists = postings(docs, terms, {names[t] for t, _ in places}, window).join(spark.createDataFrame(places, "term bigint, item bigint"), "term")
+    lists = postings(docs, terms, {names[t] for t, _ in places}, window).join(F.broadcast(spark.createDataFrame(places, "term bigint, item bigint")), "term")
 
     def confirm(batches):
         members = [frozenset(ids) for _, ids in items]

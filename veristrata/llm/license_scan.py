@@ -5,8 +5,9 @@ A notice of n characters may have k edits. Split into k + 1 pieces, at least one
 bounded-error matching then verifies the neighbourhood and reports span and edits.
 
 Null and empty texts have no words, empty label strings and score 0. Ties between spans of a notice go to fewer
-edits, then to the earlier span. Whole texts are searched; neighbourhoods that
-overlap are merged, and searched again on both sides of each match.
+edits, then to the earlier span. Whole texts are searched; neighbourhoods that overlap are merged, and searched again
+on both sides of each match. Repeated rows give one row each, extra columns are ignored, and an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +35,31 @@ NOTICES = (
     ("subject to the terms of the mozilla public license", "mpl"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("licensed under a creative commons attribution", "cc"),
+    ("licensed under the creative commons zero", "cc0"),
+    ("this work is licensed under a creative commons attribution noncommercial", "cc-nc"),
+    ("this work is licensed under a creative commons attribution sharealike", "cc-sa"),
+    ("eclipse public license", "epl"),
+    ("boost software license version 1 0", "bsl"),
+    ("this software is provided as is without any express or implied warranty", "zlib"),
+    ("do what the fuck you want to public license", "wtfpl"),
+    ("european union public licence", "eupl"),
+    ("common development and distribution license", "cddl"),
+    ("microsoft public license", "ms-pl"),
+    ("artistic license 2 0", "artistic"),
+    ("sil open font license", "ofl"),
+    ("open database license", "odbl"),
+    ("gnu free documentation license", "gfdl"),
+    ("python software foundation license", "psf"),
+    ("server side public license", "sspl"),
+    ("business source license", "busl"),
+    ("elastic license 2 0", "elastic"),
+    ("academic free license", "afl"),
+    ("university of illinois ncsa open source license", "ncsa"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse", "bsd"),
+    ("the above copyright notice and this permission notice shall be included in all copies", "mit"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license", "apache"),
+    ("this program is free software you can redistribute it", "gpl"),
+    ("you should have received a copy of the gnu general public license along with this program", "gpl"),
     ("all rights reserved", "reserved"),
 )
 #: One edit for so many characters of a notice.

@@ -8,7 +8,7 @@ The trees are fitted with Spark ML on a bounded set of TRAINING rows that are ma
 look-alikes such as order numbers, versions and dates) and then act as one SQL expression inside the scan: there is
 no shuffle, no Python and no join. Whole texts are searched; the patterns run in linear time.
 
-Null and empty texts have no spans: counts 0, empty strings. Repeated rows give one row each. Extra columns are
+Null and empty texts have no spans: counts 0, empty strings. Repeated rows give one row each, an empty table none. Extra columns are
 ignored by find_pii() and kept by redact().
 """
 
@@ -38,7 +38,7 @@ GENERATORS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63}){1,4}", "at"),
 )
 FEATURES = ("generator", "length", "digits", "letters", "marks", "keyword", "lookalike", "touches_left", "touches_right", "groups", "opens", "plus")
-KEYWORD = r"(?i)(phone|tel|call|mobile|fax|contact|ssn|social|iban|account|bank|mail|reach|token|secret|password|key)[^a-z]*(is|at|no|number|security)?[^a-z0-9]*$"
+KEYWORD = r"(?i)(phone|tel|call|mobile|fax|contact|ssn|social|iban|account|bank|mail|reach|token|secret|password|key)(?:[^a-z]{0,3}(?:is|at|no|number|security|my|me|us|on)){0,3}[^a-z0-9]*$"
 LOOKALIKE = r"(?i)(order|invoice|version|release|page|ref|isbn|item|serial|total|price|date|build|model)[^a-z]*(is|no|number)?[^a-z0-9]*$"
 #: Rows that the trees are fitted and calibrated on; precision that a threshold must reach on the held-out third.
 TRAINING, PRECISION = 3000, 0.99
@@ -140,7 +140,8 @@ def training(spark: SparkSession, rows: int = TRAINING) -> DataFrame:
     false_lead = F.element_at(F.array(*map(F.lit, ("order ", "invoice no. ", "version ", "ref ", "serial number ", "page ", "total ", ""))), (n("false", 8) + 1).cast("int"))
     hidden = F.concat(F.lit("token = "), word("w1"), F.lit("_"), word("w2"), F.lit("_"), word("w3"))
     code = F.concat(F.lit("AB"), d("a", 2), F.lit("CDEF"), d("b", 4), F.lit("GH"), d("c", 2), F.lit("XY"))
-    cases = [(F.concat(lead, phone), 1), (F.concat(F.lit("ssn: "), ssn), 1), (F.concat(F.lit("iban "), iban), 1), (secret, 1), (F.concat(F.lit("mail "), mail), 1)]
+    social = F.when(n("soc", 2) == 0, "ssn: ").otherwise("social security no. ")
+    cases = [(F.concat(lead, phone), 1), (F.concat(social, ssn), 1), (F.concat(F.lit("iban "), iban), 1), (secret, 1), (F.concat(F.lit("mail "), mail), 1)]
     cases += [(F.concat(false_lead, phone), 0), (F.concat(false_lead, ssn), 0), (F.concat(false_lead, code), 0), (hidden, 0), (F.concat(word("w3"), F.lit(" "), d("a", 3), F.lit(" "), d("b", 3), F.lit(" "), d("c", 4)), 0)]
     pick = n("case", len(cases))
     text, label = F.lit(None).cast("string"), F.lit(None).cast("int")

@@ -22,10 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that materialise() has written, for clean().
+WRITTEN: list[str] = []
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one only where that is unset and all run here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='veristrata-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/veristrata/{label}-{uuid.uuid4().hex}"
@@ -35,9 +41,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and gives the planner true sizes."""
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete working tables (all that were written) once no result that reads them is wanted any more."""
+    for path in list(WRITTEN) if paths is None else paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        WRITTEN.remove(path)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

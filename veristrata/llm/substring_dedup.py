@@ -14,7 +14,7 @@ than fill a quarter of it, a semi-join takes them away. Segments with more than
 parts. Each document's repeated ranges are joined back to its text.
 
 Null and empty texts have 0 bytes; an empty table gives an empty result. Rows that repeat a document count as further places. Texts of any length are
-read in parts of bounded size; windows on either side of a part's end are all seen once.
+read, extra columns ignored, in parts of bounded size; windows on either side of a part's end are all seen once.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Each batch's pre-tokens that are not known yet lie end to end in one numpy array
 sequence finds the lowest merge rank among its neighbouring pairs and merges all places of that pair at once; a
 sequence without a mergeable pair is done, and its symbols are counted.
 
-Null and empty texts have 0 bytes and 0 tokens. Repeated rows give one row each. Texts of any length are whole.
+Null and empty texts have 0 bytes and 0 tokens. Repeated rows give one row each, an empty table none; extra columns are
+ignored. Texts of any length are whole.
 """
 
 from __future__ import annotations
