@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 WEAK, WEAK_SHARE, STRONG_REFUTER = 0.25, 0.6, 0.5
 
 
-def rule_verdict(passages: DataFrame, claim: str) -> DataFrame:
-    """(claim, verdict, confidence) from passages(claim, support, refute)."""
+def rule_verdict(passages: DataFrame, claim: str, claims: DataFrame | None = None) -> DataFrame:
+    """(claim, verdict, confidence) from passages(claim, support, refute); claims(claim) without any are (NEI, 0)."""
     m = passages.groupBy(claim).agg(F.max("support").alias("s"), F.max("refute").alias("r"))
+    if claims is not None:
+        m = claims.select(claim).distinct().join(m, claim, "left")
     s, r = F.col("s") >= 0.5, F.col("r") >= 0.5
     best = F.greatest("s", "r")
-    return m.select(claim, F.when(s & r, "Conflicting").when(s, "Supported").when(r, "Refuted").otherwise("NEI").alias("verdict"), F.when(s | r, best).otherwise(1 - best).alias("confidence"))
+    verdict = F.when(s & r, "Conflicting").when(s, "Supported").when(r, "Refuted").otherwise("NEI")
+    return m.select(claim, verdict.alias("verdict"), F.when(best.isNull(), 0.0).when(s | r, best).otherwise(1 - best).alias("confidence"))
 
 
 def live_verdict(passages: DataFrame, claim: str) -> DataFrame:

@@ -15,12 +15,18 @@ def passages(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("claim"), (e % 97 / 200.0).alias("support"), (e % 89 / 190.0).alias("refute"), (e % 11 / 10.0).alias("relevance"))
 
 
-@query("rule_verdict", PASSAGES + ", m AS (SELECT claim, max(support) + 0.03 AS s, max(refute) + 0.03 AS r FROM p WHERE relevance > 0.8 GROUP BY claim) SELECT claim, CASE WHEN s >= 0.5 AND r >= 0.5 THEN 'Conflicting' WHEN s >= 0.5 THEN 'Supported' WHEN r >= 0.5 THEN 'Refuted' ELSE 'NEI' END AS verdict, round(CASE WHEN s >= 0.5 OR r >= 0.5 THEN greatest(s, r) ELSE 1 - greatest(s, r) END, 6) AS confidence FROM m")
+@query(
+    "rule_verdict",
+    """WITH m AS (SELECT c_custkey AS claim, max(event_id % 97 / 192.0) AS s, max(event_id % 89 / 176.0) AS r FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY claim)
+    SELECT claim, CASE WHEN s >= 0.5 AND r >= 0.5 THEN 'Conflicting' WHEN s >= 0.5 THEN 'Supported' WHEN r >= 0.5 THEN 'Refuted' ELSE 'NEI' END AS verdict,
+    round(CASE WHEN s IS NULL THEN 0 WHEN s >= 0.5 OR r >= 0.5 THEN greatest(s, r) ELSE 1 - greatest(s, r) END, 6) AS confidence FROM m""",
+)
 def rule_verdict(spark, sf_dir):
-    # every passage counts; scores end at 0.5, so that some claims reach the limit on either side
+    # every customer is a claim; scores end at 0.5, so that some claims reach the limit on either side
     e = F.col("event_id")
     p = table(spark, sf_dir, "events").select(F.col("user_id").alias("claim"), (e % 97 / 192.0).alias("support"), (e % 89 / 176.0).alias("refute"))
-    return D.rule_verdict(p, "claim").withColumn("confidence", F.round("confidence", 6))
+    claims = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("claim"))
+    return D.rule_verdict(p, "claim", claims).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("live_verdict", PASSAGES + ", m AS (SELECT claim, sum(relevance * support) / nullif(sum(relevance), 0) AS s, sum(relevance * refute) / nullif(sum(relevance), 0) AS r, max(refute) AS most FROM p GROUP BY claim) SELECT claim, CASE WHEN s IS NULL THEN 'NEI' WHEN least(s, r) >= 0.25 AND least(s, r) >= 0.6 * greatest(s, r) THEN 'Conflicting' WHEN greatest(s, r) > 1 - s - r THEN CASE WHEN s < r THEN 'Refuted' WHEN most >= 0.5 THEN 'Conflicting' ELSE 'Supported' END ELSE 'NEI' END AS verdict FROM m")
@@ -28,10 +34,16 @@ def live_verdict(spark, sf_dir):
     return D.live_verdict(passages(spark, sf_dir), "claim")
 
 
-@query("softmax_temperature", "SELECT label, count(*) AS n, round(avg(exp(embedding[1]::DOUBLE / 0.7) / (exp(embedding[1]::DOUBLE / 0.7) + exp(embedding[2]::DOUBLE / 0.7) + exp(embedding[3]::DOUBLE / 0.7))), 6) AS p1 FROM embeddings GROUP BY label")
+@query(
+    "softmax_temperature",
+    """WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    e AS (SELECT *, exp(v / 0.7) / sum(exp(v / 0.7)) OVER (PARTITION BY vec_id) AS p FROM x)
+    SELECT label, i::BIGINT AS class, round(avg(p), 6) AS p FROM e GROUP BY label, i""",
+)
 def softmax_temperature(spark, sf_dir):
-    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.get(D.softmax(logits, 0.7), F.lit(0))), 6).alias("p1"))
+    p = D.softmax(F.transform("embedding", lambda x: x.cast("double")), 0.7)
+    each = table(spark, sf_dir, "embeddings").select("label", F.posexplode(p).alias("i", "p"))
+    return each.groupBy("label", (F.col("i") + 1).cast("bigint").alias("class")).agg(F.round(F.avg("p"), 6).alias("p"))
 
 
 @query("confidence_bands", "SELECT CASE WHEN c >= 0.6 THEN 'high' WHEN c >= 0.4 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM (SELECT event_id % 100 / 100.0 AS c FROM events) GROUP BY band")

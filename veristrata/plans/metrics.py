@@ -105,7 +105,7 @@ def cluster_consistency(spark, sf_dir):
     return c.groupBy("kinds").agg(F.count("*").alias("clusters"))
 
 
-@query("cer_by_lang", "SELECT lang, round(sum(levenshtein(substr(text, 1, 60), lower(substr(text, 1, 60)))) / sum(length(substr(text, 1, 60))), 6) AS cer FROM documents GROUP BY lang")
+@query("cer_by_lang", "SELECT lang, round(sum(len(list_filter(string_split(text, ''), lambda c: lower(c) <> c))) / sum(length(text)), 6) AS cer FROM documents GROUP BY lang")
 def cer_by_lang(spark, sf_dir):
     edits = M.lowering_edits("text").alias("edits")
     return table(spark, sf_dir, "documents").select("lang", edits, F.length("text").alias("n")).groupBy("lang").agg(F.round(F.sum("edits") / F.sum("n"), 6).alias("cer"))

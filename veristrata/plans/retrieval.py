@@ -59,7 +59,7 @@ def maxp(spark, sf_dir):
     return dense_scores(spark, sf_dir).groupBy("query_id", "label").agg(F.round(F.max("score"), 4).alias("score"))
 
 
-@query("rrf_fuse", DENSE_SQL + ", s AS (SELECT query_id, vec_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS r2 FROM dr) SELECT query_id, vec_id, round(1.0 / (60 + rank) + 1.0 / (60 + r2), 8) AS score FROM s WHERE rank <= 20 AND r2 <= 200")
+@query("rrf_fuse", DENSE_SQL + ", s AS (SELECT query_id, vec_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS r2 FROM dr) SELECT query_id, vec_id, round(sum(1.0 / (60 + r)), 8) AS score FROM (SELECT query_id, vec_id, rank AS r FROM s WHERE rank <= 20 UNION ALL SELECT query_id, vec_id, r2 FROM s WHERE r2 <= 200) GROUP BY ALL")
 def rrf_fuse(spark, sf_dir):
     scores = dense_scores(spark, sf_dir)
     first = R.top_k(scores, ["query_id"], "vec_id", 20)
