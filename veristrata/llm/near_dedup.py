@@ -31,8 +31,8 @@ COORDINATES, MATCHES = 64, 30
 SIMILAR = 80
 #: Words of a shingle: of the query (fixed by its contract) and elsewhere.
 QUERY_WORDS, WORDS = 2, 5
-#: Members of a family in one cell.
-CELL = 1000
+#: Members of a family in one cell, and shingles of them all; both on average, as members are dealt to cells by hash.
+CELL, CELL_SHINGLES = 1000, 1 << 20
 MAX_ROUNDS = 60
 
 
@@ -237,8 +237,9 @@ def outside_links(cells: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed(members: DataFrame, sets: DataFrame, percent: int = SIMILAR, cell: int = CELL) -> DataFrame:
-    """Links (x, y) that join all similar classes of each family of members(hub, cid), given sets(cid, set)."""
-    size = members.groupBy("hub").agg(F.ceil(F.count("*") / cell).alias("blocks")).filter("blocks >= 1")
+    """Links (x, y) that join all similar classes of each family of members(hub, cid, n), n shingles each, given sets(cid, set)."""
+    cells = F.ceil(F.greatest(F.count("*") / cell, F.sum("n") / CELL_SHINGLES))
+    size = members.groupBy("hub").agg(cells.alias("blocks"))
     placed = members.join(size, "hub").withColumn("block", F.when(F.col("hub") == F.col("cid"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), "blocks"))))
     placed = placed.withColumn("block", F.explode("block"))
     found = shared.materialise(star_links(placed.join(sets, "cid").select("hub", "block", "blocks", "cid", "set"), percent), "star")
@@ -246,7 +247,8 @@ def confirmed(members: DataFrame, sets: DataFrame, percent: int = SIMILAR, cell:
     outer = found.filter("y IS NULL").select("hub", F.col("x").alias("cid"))
     if outer.isEmpty():
         return links
-    parts = outer.groupBy("hub").agg(F.ceil(F.count("*") / cell).alias("parts")).join(size, "hub")
+    outer = outer.join(members, ["hub", "cid"])
+    parts = outer.groupBy("hub").agg(cells.alias("parts")).join(size, "hub")
     inner = members.join(parts, "hub").withColumn("mb", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("ob", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     outer = outer.join(parts, "hub").withColumn("ob", F.pmod(F.xxhash64("cid"), "parts")).withColumn("mb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     both = inner.select("hub", "ob", "mb", F.lit(False).alias("outer"), "cid").unionByName(outer.select("hub", "ob", "mb", F.lit(True).alias("outer"), "cid"))
@@ -274,8 +276,8 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = SIMILAR)
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("k2"), text).alias("k2"))
     signed = shared.materialise(signatures(docs, size), "signatures")
     sets = signed.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("k1", "k2")).alias("k"), F.first("sig").alias("sig"), F.first("low").alias("low"))
-    classes = shared.materialise(sets.select(F.col("a").alias("cid"), "rep", "k.k1", "k.k2", "sig", "low"), "classes")
-    members = shared.materialise(families(classes), "families")
+    classes = shared.materialise(sets.select(F.col("a").alias("cid"), "n", "rep", "k.k1", "k.k2", "sig", "low"), "classes")
+    members = shared.materialise(families(classes).join(classes.select("cid", "n"), "cid"), "families")
     wanted = classes.join(members.select("cid").distinct(), "cid").select("cid", "k1", "k2")
     held = shared.materialise(full_sets(docs, wanted, size), "sets")
     found = components(confirmed(members, held, percent)).withColumnRenamed("v", "cid")
