@@ -117,7 +117,7 @@ def collided(lists: DataFrame, least: int) -> DataFrame:
 
 
 def families(classes: DataFrame, least: int = MATCHES, cell: int = CELL) -> DataFrame:
-    """(hub, cid) of all candidates among classes(cid, sig, low), a hub with itself included."""
+    """(hub, cid, n) of all candidates among classes(cid, n, sig, low), a hub with itself included."""
     posted = classes.select("cid", F.posexplode("sig").alias("j", "v")).select("cid", (F.shiftleft(F.col("j").cast("bigint"), 32) + F.col("v").cast("bigint")).alias("key"))
     often = posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     own = posted.join(often, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared"))
@@ -128,7 +128,10 @@ def families(classes: DataFrame, least: int = MATCHES, cell: int = CELL) -> Data
     hubs = prefix.groupBy("key").agg(F.max(F.struct("weight", "cid")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     lists = prefix.join(hubs.select("key", F.col("hub.cid").alias("hub"), "size"), "key")
     small = collided(lists.filter(F.col("size") <= cell).select("key", "cid", "weight", "low"), least)
-    return small.unionByName(lists.filter(F.col("size") > cell).select("hub", "cid")).distinct()
+    found = small.unionByName(lists.filter(F.col("size") > cell).select("hub", "cid")).distinct()
+    found = shared.materialise(found.join(classes.select("cid", "n"), "cid"), "families")
+    shared.drop(prefix)
+    return found
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -246,13 +249,16 @@ def confirmed(members: DataFrame, sets: DataFrame, percent: int = SIMILAR, cell:
     links = found.filter("y IS NOT NULL").select("x", "y")
     outer = found.filter("y IS NULL").select("hub", F.col("x").alias("cid"))
     if outer.isEmpty():
-        return links
+        return found.select("x", "y")
     outer = outer.join(members, ["hub", "cid"])
     parts = outer.groupBy("hub").agg(cells.alias("parts")).join(size, "hub")
     inner = members.join(parts, "hub").withColumn("mb", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("ob", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     outer = outer.join(parts, "hub").withColumn("ob", F.pmod(F.xxhash64("cid"), "parts")).withColumn("mb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     both = inner.select("hub", "ob", "mb", F.lit(False).alias("outer"), "cid").unionByName(outer.select("hub", "ob", "mb", F.lit(True).alias("outer"), "cid"))
-    return links.unionByName(outside_links(both.join(sets, "cid").select("hub", "ob", "mb", "outer", "cid", "set"), percent))
+    more = outside_links(both.join(sets, "cid").select("hub", "ob", "mb", "outer", "cid", "set"), percent)
+    every = shared.materialise(links.unionByName(more), "links")
+    shared.drop(found)
+    return every
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,10 +269,12 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.select(F.col("v").alias("y"), "label"), "y").groupBy(F.col("x").alias("v")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("v").alias("low"), F.col("label").alias("lowest"))
-        moved = shared.materialise(lower.join(jump, "low", "left").select("v", F.least("low", F.coalesce("lowest", "low")).alias("label"), (F.least("low", F.coalesce("lowest", "low")) < F.col("label")).alias("moved")), "labels")
-        labels = moved.select("v", "label")
+        old, moved = labels, shared.materialise(lower.join(jump, "low", "left").select("v", F.least("low", F.coalesce("lowest", "low")).alias("label"), (F.least("low", F.coalesce("lowest", "low")) < F.col("label")).alias("moved")), "labels")
+        shared.drop(old)
+        labels = moved
         if moved.filter("moved").isEmpty():
-            return labels
+            shared.drop(edges)
+            return labels.select("v", "label")
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
@@ -277,10 +285,11 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = SIMILAR)
     signed = shared.materialise(signatures(docs, size), "signatures")
     sets = signed.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("k1", "k2")).alias("k"), F.first("sig").alias("sig"), F.first("low").alias("low"))
     classes = shared.materialise(sets.select(F.col("a").alias("cid"), "n", "rep", "k.k1", "k.k2", "sig", "low"), "classes")
-    members = shared.materialise(families(classes).join(classes.select("cid", "n"), "cid"), "families")
+    members = families(classes)
     wanted = classes.join(members.select("cid").distinct(), "cid").select("cid", "k1", "k2")
     held = shared.materialise(full_sets(docs, wanted, size), "sets")
     found = components(confirmed(members, held, percent)).withColumnRenamed("v", "cid")
+    shared.drop(members, held)
     ids = classes.select("cid", "rep").join(found, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     lowest = ids.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_set = ids.join(lowest, "label").select(F.col("cid").alias("a"), "component_id")

@@ -39,10 +39,21 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and gives the planner true sizes."""
-    path = work_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = work_path(spark, label)
     df.write.parquet(path)
     WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # shuffle files of jobs that are done go only when the driver's collector finds that nothing uses them
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing lazy reads any more."""
+    for t in tables:
+        clean(t.sparkSession, [t._written])
 
 
 def clean(spark: SparkSession, paths: list[str] | None = None) -> None:
