@@ -123,13 +123,13 @@ def families(classes: DataFrame, least: int = MATCHES, cell: int = CELL) -> Data
     own = posted.join(often, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared"))
     own = own.filter(F.size("shared") >= least)
     weight = F.aggregate("shared", F.lit(0).cast("bigint"), lambda a, x: a + x["df"])
-    own = own.select("cid", weight.alias("weight"), F.slice("shared", F.lit(1), F.size("shared") - least + 1).alias("shared")).join(classes.select("cid", "low"), "cid")
+    own = own.select("cid", weight.alias("weight"), F.slice("shared", F.lit(1), F.size("shared") - least + 1).alias("shared")).join(classes.select("cid", "low").hint("merge"), "cid")
     prefix = shared.materialise(own.select("cid", "weight", "low", F.explode("shared").alias("x")).select("cid", "weight", "low", "x.key"), "prefix")
     hubs = prefix.groupBy("key").agg(F.max(F.struct("weight", "cid")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     lists = prefix.join(hubs.select("key", F.col("hub.cid").alias("hub"), "size"), "key")
     small = collided(lists.filter(F.col("size") <= cell).select("key", "cid", "weight", "low"), least)
     found = small.unionByName(lists.filter(F.col("size") > cell).select("hub", "cid")).distinct()
-    found = shared.materialise(found.join(classes.select("cid", "n"), "cid"), "families")
+    found = shared.materialise(found.join(classes.select("cid", "n").hint("merge"), "cid"), "families")
     shared.drop(prefix)
     return found
 
@@ -143,7 +143,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t, size, hashes).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.binary())], ["cid", "set"])
 
-    found = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    # few texts are wanted, so most stay where they are; joins of growing sides are by shuffle at every size
+    some = shared.likely(docs.select("k1", "k2", "text"), "k1", wanted.select(F.col("k1").alias("key")))
+    found = some.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     return found.select("cid", "text").mapInArrow(run, "cid bigint, set binary")
 
 
@@ -245,7 +247,7 @@ def confirmed(members: DataFrame, sets: DataFrame, percent: int = SIMILAR, cell:
     size = members.groupBy("hub").agg(cells.alias("blocks"))
     placed = members.join(size, "hub").withColumn("block", F.when(F.col("hub") == F.col("cid"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), "blocks"))))
     placed = placed.withColumn("block", F.explode("block"))
-    found = shared.materialise(star_links(placed.join(sets, "cid").select("hub", "block", "blocks", "cid", "set"), percent), "star")
+    found = shared.materialise(star_links(placed.join(sets.hint("merge"), "cid").select("hub", "block", "blocks", "cid", "set"), percent), "star")
     links = found.filter("y IS NOT NULL").select("x", "y")
     outer = found.filter("y IS NULL").select("hub", F.col("x").alias("cid"))
     if outer.isEmpty():
@@ -255,7 +257,7 @@ def confirmed(members: DataFrame, sets: DataFrame, percent: int = SIMILAR, cell:
     inner = members.join(parts, "hub").withColumn("mb", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("ob", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     outer = outer.join(parts, "hub").withColumn("ob", F.pmod(F.xxhash64("cid"), "parts")).withColumn("mb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     both = inner.select("hub", "ob", "mb", F.lit(False).alias("outer"), "cid").unionByName(outer.select("hub", "ob", "mb", F.lit(True).alias("outer"), "cid"))
-    more = outside_links(both.join(sets, "cid").select("hub", "ob", "mb", "outer", "cid", "set"), percent)
+    more = outside_links(both.join(sets.hint("merge"), "cid").select("hub", "ob", "mb", "outer", "cid", "set"), percent)
     every = shared.materialise(links.unionByName(more), "links")
     shared.drop(found)
     return every

@@ -124,12 +124,24 @@ def from_row(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
 BITS = 1 << 26
 
 
+def bit_words(keys: DataFrame, bits: int = BITS) -> DataFrame:
+    """(w, v): the words of a table in which the bit of each of keys(key) is set; bits / 64 rows at most."""
+    bit = F.col("key").bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("v"))
+    return words.groupBy("w").agg(F.expr("bit_or(v)").alias("v"))
+
+
+def likely(rows: DataFrame, key: str, keys: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows whose key is among keys(key), and some others: by a broadcast of at most bits / 64 words, without a shuffle of rows."""
+    bit = F.col(key).bitwiseAND(F.lit(bits - 1))
+    held = (F.shiftright(bit, 6) == F.col("w")) & (F.expr(f"shiftrightunsigned(v, cast(`{key}` & 63 AS int)) & 1") == 1)
+    return rows.join(F.broadcast(bit_words(keys, bits)), held, "left_semi")
+
+
 def bit_table(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     """A table in which the bit of each of keys(key) is set. Words, not keys, reach the driver: bits / 64 at most."""
-    bit = F.col("key").bitwiseAND(F.lit(bits - 1))
-    words = keys.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("v")).groupBy("w").agg(F.expr("bit_or(v)").alias("v"))
     out = np.zeros(bits // 64, np.int64)
-    got = words.toArrow()
+    got = bit_words(keys, bits).toArrow()
     out[got.column("w").to_numpy()] = got.column("v").to_numpy()
     return out.view(np.uint8)
 
