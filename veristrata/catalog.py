@@ -1,6 +1,6 @@
 """The registered queries of the engine and their SQL oracles."""
 
-from veristrata.plans import decisions, duplicates, metrics, more, retrieval, streams, text  # noqa: F401
+from veristrata.plans import decisions, duplicates, leakage, messages, metrics, more, retrieval, streams, text  # noqa: F401
 from veristrata.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "bm25_global_topk"

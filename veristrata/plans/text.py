@@ -11,13 +11,7 @@ from veristrata.registry import query, table
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
-@query("text_normalize_hash", r"""SELECT doc_id, sha1(t) AS text_sha1, length(t) AS n FROM (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, 'https?://\S+|www\.\S+', ' ', 'g')), '\s+', ' ', 'g')) AS t FROM documents)""")
-def text_normalize_hash(spark, sf_dir):
-    t = T.normalised(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha1(t).alias("text_sha1"), F.length(t).cast("bigint").alias("n"))
-
-
-@query("script_profile", r"""SELECT doc_id, length(regexp_replace(text, '[^A-Za-z\x{00C0}-\x{024F}]', '', 'g')) AS latn, 'latn' AS script, CASE WHEN length(regexp_replace(text, '[^A-Za-z\x{00C0}-\x{024F}]', '', 'g')) = 0 THEN 0.0 ELSE 1.0 END AS purity FROM documents""")
+@query("script_profile", r"""SELECT doc_id, length(regexp_replace(text, '[^A-Za-z\x{00C0}-\x{024F}]', '', 'g')) AS latn, 'latn' AS script, CASE WHEN regexp_matches(text, '[A-Za-z\x{00C0}-\x{024F}]') THEN 1.0 ELSE 0.0 END AS purity FROM documents""")
 def script_profile(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", T.script_count(t, "latn").cast("bigint").alias("latn"), T.dominant_script(t).alias("script"), T.script_purity(t).alias("purity"))
@@ -73,12 +67,6 @@ def fold_balance(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(T.fold(F.col("doc_id")).alias("fold")).agg(F.count("*").alias("n"))
 
 
-@query("manipulation_flags", r"SELECT doc_id, regexp_matches(text, '!!') AS alarm, len(regexp_extract_all(text, '[A-Z]{3,}')) >= 2 AS caps FROM documents")
-def manipulation_flags(spark, sf_dir):
-    caps = F.size(F.regexp_extract_all("text", F.lit(r"[A-Z]{3,}"), F.lit(0))) >= 2
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike("!!").alias("alarm"), caps.alias("caps"))
-
-
 @query("repetition_trigrams", f"SELECT doc_id, max(n) AS most FROM (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS g FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(w) >= 3) GROUP BY ALL) GROUP BY doc_id HAVING max(n) >= 3")
 def repetition_trigrams(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("w")).filter(F.size("w") >= 3)

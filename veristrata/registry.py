@@ -22,3 +22,18 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spelled(rows: list[tuple], names: str) -> str:
+    """Literal rows as a SQL table expression, for cases that the driver's tables do not hold."""
+
+    def value(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).upper()
+        if isinstance(v, (list, tuple)):
+            return "[" + ", ".join(map(value, v)) + "]"
+        return f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+    return f"(VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) AS t({names})"
