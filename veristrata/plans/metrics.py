@@ -99,12 +99,6 @@ def operating_point(spark, sf_dir):
     return s.filter(F.col("answered") <= 0.3 * F.col("total")).agg(F.min("tau").alias("tau"))
 
 
-@query("cluster_consistency", PRED + ", c AS (SELECT gold, id // 10 AS cluster, count(DISTINCT pred) AS kinds FROM p GROUP BY ALL) SELECT kinds, count(*) AS clusters FROM c GROUP BY kinds")
-def cluster_consistency(spark, sf_dir):
-    c = predictions(spark, sf_dir).groupBy("gold", F.floor(F.col("id") / 10).alias("cluster")).agg(F.count_distinct("pred").alias("kinds"))
-    return c.groupBy("kinds").agg(F.count("*").alias("clusters"))
-
-
 @query("cer_by_lang", "SELECT lang, round(sum(len(list_filter(string_split(text, ''), lambda c: lower(c) <> c))) / sum(length(text)), 6) AS cer FROM documents GROUP BY lang")
 def cer_by_lang(spark, sf_dir):
     edits = M.lowering_edits("text").alias("edits")
