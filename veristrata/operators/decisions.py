@@ -20,13 +20,24 @@ def rule_verdict(passages: DataFrame, claim: str, claims: DataFrame | None = Non
     return m.select(claim, verdict.alias("verdict"), F.when(best.isNull(), 0.0).when(s | r, best).otherwise(1 - best).alias("confidence"))
 
 
-def live_verdict(passages: DataFrame, claim: str) -> DataFrame:
-    """(claim, verdict) from passages(claim, support, refute, relevance): means weighted by relevance, at least 0."""
+def live_scored(passages: DataFrame, claim: str) -> DataFrame:
+    """(claim, verdict, confidence) from passages(claim, support, refute, relevance): means weighted by relevance, at least 0."""
     w = F.greatest("relevance", F.lit(0.0))
     mean = lambda c: F.sum(w * F.col(c)) / F.when(F.sum(w) == 0, None).otherwise(F.sum(w))
     m = passages.groupBy(claim).agg(mean("support").alias("s"), mean("refute").alias("r"), F.max("refute").alias("most"))
-    weak, strong, neutral = F.least("s", "r"), F.greatest("s", "r"), 1 - F.col("s") - F.col("r")
-    return m.select(claim, F.when(F.col("s").isNull(), "NEI").when((weak >= WEAK) & (weak >= WEAK_SHARE * strong), "Conflicting").when(strong > neutral, F.when(F.col("s") >= F.col("r"), F.when(F.col("most") >= STRONG_REFUTER, "Conflicting").otherwise("Supported")).otherwise("Refuted")).otherwise("NEI").alias("verdict"))
+    s, r = F.col("s"), F.col("r")
+    weak, strong, neutral = F.least("s", "r"), F.greatest("s", "r"), 1 - s - r
+    sided = F.when(s < r, "Refuted").when(F.col("most") >= STRONG_REFUTER, "Conflicting").otherwise("Supported")
+    verdict = F.when(s.isNull(), "NEI").when((weak >= WEAK) & (weak >= WEAK_SHARE * strong), "Conflicting").when(strong > neutral, sided).otherwise("NEI")
+    m = m.withColumn("verdict", verdict)
+    v = F.col("verdict")
+    sure = F.when(s.isNull(), 0.0).when(v == "Conflicting", F.least(F.lit(1.0), s + r)).when(v == "Supported", s).when(v == "Refuted", r).otherwise(neutral)
+    return m.select(claim, "verdict", sure.alias("confidence"))
+
+
+def live_verdict(passages: DataFrame, claim: str) -> DataFrame:
+    """(claim, verdict) of live_scored()."""
+    return live_scored(passages, claim).drop("confidence")
 
 
 def softmax(logits: Column, temperature: float) -> Column:

@@ -52,19 +52,40 @@ def ece(rows: DataFrame, bins: int = 10) -> DataFrame:
     return reliability(rows, bins).agg((F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_confidence"))) / F.sum("n")).alias("ece"))
 
 
-def coverage_curve(rows: DataFrame, points: int = 20) -> DataFrame:
-    """(point, coverage, accuracy) at points + 1 shares of the rows, by confidence; ties in order of id.
+#: Ranges into which an order is cut for counting.
+RANGES = 256
+
+
+def numbered(rows: DataFrame, by: list[str], order: list, running: str | None = None, ranges: int = RANGES) -> DataFrame:
+    """rows with `number`, from 1, in their order within the groups `by`; running: a column summed up to each row as `total`.
 
-    Rows are counted by confidence first, so that what the running sum orders is one row for each distinct value and
-    id range, and the grid joins to counts only.
+    However large a group is, no task orders more than one of `ranges` ranges of the whole: ranges are cut by sampled
+    quantiles, counted by group, and the counts before a range are added to the numbers within it.
     """
-    right = F.sum((F.col("gold") == F.col("pred")).cast("int"))
-    w = Window.orderBy(F.desc("confidence"), "id")
-    ranked = rows.groupBy("confidence", "id").agg(right.alias("right")).select(F.row_number().over(w).alias("at"), F.sum("right").over(w).alias("right"))
+    cut = rows.repartitionByRange(ranges, *by, *order).withColumn("__range", F.spark_partition_id())
+    here, before = Window.partitionBy("__range", *by), Window.partitionBy(*by).orderBy("__range")
+    sums = [F.count("*").alias("__n"), *([F.sum(running).alias("__s")] if running else [])]
+    counts = cut.groupBy("__range", *by).agg(*sums)
+    # at most `ranges` rows of each group
+    ahead = lambda c: (F.sum(c).over(before) - F.col(c)).alias(f"{c}_ahead")
+    counts = counts.select("__range", *by, ahead("__n"), *([ahead("__s")] if running else []))
+    own = cut.withColumn("__own", F.row_number().over(here.orderBy(*order)))
+    if running:
+        own = own.withColumn("__sum", F.sum(running).over(here.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.join(F.broadcast(counts) if not by else counts, ["__range", *by]).withColumn("number", F.col("__own") + F.col("__n_ahead"))
+    if running:
+        own = own.withColumn("total", F.col("__sum") + F.col("__s_ahead"))
+    return own.drop("__range", "__own", "__n_ahead", "__sum", "__s_ahead")
+
+
+def coverage_curve(rows: DataFrame, points: int = 20) -> DataFrame:
+    """(point, coverage, accuracy) at points + 1 shares of the rows, by confidence; ties in order of id."""
+    rows = rows.select("id", "confidence", (F.col("gold") == F.col("pred")).cast("int").alias("right"))
+    ranked = numbered(rows, [], [F.desc("confidence"), F.col("id")], "right").select(F.col("number").alias("at"), F.col("total").alias("right"))
     total = rows.agg(F.count("*").alias("n"))
     grid = rows.sparkSession.range(points + 1).select(F.col("id").alias("point")).crossJoin(total)
-    grid = grid.withColumn("at", F.greatest(F.lit(1), F.ceil(F.col("point") / points * F.col("n"))).cast("int"))
-    return grid.join(ranked, "at").select("point", (F.col("at") / F.col("n")).alias("coverage"), (F.col("right") / F.col("at")).alias("accuracy"))
+    grid = grid.withColumn("at", F.greatest(F.lit(1), F.ceil(F.col("point") / points * F.col("n"))).cast("bigint"))
+    return ranked.join(F.broadcast(grid), "at").select("point", (F.col("at") / F.col("n")).alias("coverage"), (F.col("right") / F.col("at")).alias("accuracy"))
 
 
 def lowering_edits(text: str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veristrata.operators.metrics import numbered
 from veristrata.registry import query, table
 
 
@@ -37,24 +37,23 @@ def dedup_train_yields(spark, sf_dir):
 
 @query("stratified_holdout", f"WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {HASH}, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, source FROM r WHERE r <= CASE WHEN n > 1 THEN greatest(1, round_even(n * 0.1, 0)) ELSE 0 END")
 def stratified_holdout(spark, sf_dir):
-    w = Window.partitionBy("source")
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    r = d.select("*", F.row_number().over(w.orderBy(hashed("doc_id"), "doc_id")).alias("r")).join(d.groupBy("source").agg(F.count("*").alias("n")), "source")
+    r = numbered(d.withColumn("h", hashed("doc_id")), ["source"], ["h", "doc_id"]).withColumnRenamed("number", "r").join(d.groupBy("source").agg(F.count("*").alias("n")), "source")
     return r.filter(F.col("r") <= F.when(F.col("n") > 1, F.greatest(F.lit(1), F.bround(F.col("n") * 0.1))).otherwise(0)).select("doc_id", "source")
 
 
 @query("split_80_10_10", f"WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {HASH}, doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, CASE WHEN r < floor(n * 0.8) THEN 'train' WHEN r < floor(n * 0.8) + floor(n * 0.1) THEN 'dev' ELSE 'test' END AS split, count(*) AS n FROM r GROUP BY 1, 2")
 def split_80_10_10(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    r = d.select("*", (F.row_number().over(Window.partitionBy("lang").orderBy(hashed("doc_id"), "doc_id")) - 1).alias("r")).join(d.groupBy("lang").agg(F.count("*").alias("total")), "lang")
+    r = numbered(d.withColumn("h", hashed("doc_id")), ["lang"], ["h", "doc_id"]).withColumn("r", F.col("number") - 1).join(d.groupBy("lang").agg(F.count("*").alias("total")), "lang")
     a, b = F.floor(F.col("total") * 0.8), F.floor(F.col("total") * 0.1)
     return r.groupBy("lang", F.when(F.col("r") < a, "train").when(F.col("r") < a + b, "dev").otherwise("test").alias("split")).agg(F.count("*").alias("n"))
 
 
 @query("round_robin_deal", f"SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY {HASH}, doc_id) AS turn, quality FROM labels")
 def round_robin_deal(spark, sf_dir):
-    turn = F.row_number().over(Window.partitionBy("quality").orderBy(hashed("doc_id"), "doc_id"))
-    return table(spark, sf_dir, "labels").select("doc_id", turn.cast("bigint").alias("turn"), "quality")
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality", hashed("doc_id").alias("h"))
+    return numbered(rows, ["quality"], ["h", "doc_id"]).select("doc_id", F.col("number").alias("turn"), "quality")
 
 
 @query("coverage_missing_unknown", "SELECT 'missing' AS kind, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'unknown', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veristrata.functions.text import tokens
 from veristrata.operators import retrieval as R
 from veristrata.registry import query, table
 
@@ -13,9 +14,8 @@ DENSE_SQL = f"""WITH c AS (SELECT a.vec_id AS query_id, a.label AS q_label, b.ve
 
 
 def bm25_ranked(spark, sf_dir, k=10):
-    weights = R.bm25_weights(table(spark, sf_dir, "documents"), "doc_id")
-    scores = R.bm25(table(spark, sf_dir, "benchmark"), weights, "item_id", "doc_id").withColumn("score", F.round("score", 6))
-    return R.top_k(scores, ["item_id"], "doc_id", k)
+    scores = R.bm25_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id", "doc_id")
+    return R.top_k(scores.withColumn("score", F.round("score", 6)), ["item_id"], "doc_id", k)
 
 
 def dense_scores(spark, sf_dir):
@@ -31,7 +31,8 @@ def bm25_global_topk(spark, sf_dir):
 @query("idf_floor", BM25_SQL + " SELECT count(*) AS terms, sum(CASE WHEN d.idf < 0 THEN 1 ELSE 0 END) AS floored, round(avg(idf), 6) AS mean_idf FROM d")
 def idf_floor(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    df = R.postings(docs, "doc_id").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))
+    once = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    df = once.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     return df.agg(F.count("*").alias("terms"), F.sum((idf < 0).cast("bigint")).alias("floored"), F.round(F.avg(idf), 6).alias("mean_idf"))
 
