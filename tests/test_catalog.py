@@ -31,7 +31,7 @@ def plain(v):
     return v.isoformat() if isinstance(v, datetime.datetime) else v
 
 
-@pytest.mark.parametrize("name", catalog.QUERIES)
+@pytest.mark.parametrize("name", catalog.ORACLES)
 def test_query(spark, sql, name):
     df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)

@@ -7,6 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # fixed values: a rating in lower case, and the verdict that it stands for
 REFUTED = (
@@ -26,7 +27,7 @@ NEI = ("unverifiable", "unproven", "unsupported", "no evidence", "not enough exp
 VERDICTS = {"Refuted": REFUTED, "Supported": SUPPORTED, "Conflicting": CONFLICTING, "NEI": NEI}
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _literal(cells: pd.Series) -> pd.Series:
     def read(cell):
         try:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veristrata.functions.text import tokens
 from veristrata.operators import retrieval as R
-from veristrata.registry import query, table
+from veristrata.registry import query, spread, table
 
 BM25_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents), p AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term, len(ws) AS dl FROM w) GROUP BY ALL), s AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w), d AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM p, s GROUP BY term, n), f AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM d) ELSE idf END AS idf FROM d), q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) GROUP BY ALL), sc AS (SELECT item_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL), r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc)"""
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -14,8 +14,8 @@ DENSE_SQL = f"""WITH c AS (SELECT a.vec_id AS query_id, a.label AS q_label, b.ve
 
 
 def bm25_ranked(spark, sf_dir, k=10):
-    scores = R.bm25_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id", "doc_id")
-    return R.top_k(scores.withColumn("score", F.round("score", 6)), ["item_id"], "doc_id", k)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return R.bm25_search(docs, table(spark, sf_dir, "benchmark"), "item_id", "doc_id", k)
 
 
 def dense_scores(spark, sf_dir):
@@ -30,7 +30,7 @@ def bm25_global_topk(spark, sf_dir):
 
 @query("idf_floor", BM25_SQL + " SELECT count(*) AS terms, sum(CASE WHEN d.idf < 0 THEN 1 ELSE 0 END) AS floored, round(avg(idf), 6) AS mean_idf FROM d")
 def idf_floor(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("text"))
     once = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     df = once.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veristrata.functions import text as T
-from veristrata.registry import query, table
+from veristrata.registry import query, spread, table
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
@@ -28,8 +28,8 @@ def token_stats(spark, sf_dir):
 def doc_frequency(spark, sf_dir):
     # a document's own counts are made in its row, so that one shuffle, of partial sums, is all
     words = F.array_sort(T.tokens(F.col("text"))).alias("w")
-    first = table(spark, sf_dir, "documents").select(words).select(F.posexplode("w").alias("i", "term"), "w")
-    starts = (F.col("i") == 0) | (F.get("w", F.col("i") - 1) != F.col("term"))
+    first = spread(table(spark, sf_dir, "documents").select("text")).select(words).select(F.inline(F.transform("w", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("w", i - 1) != x)).alias("starts")))))
+    starts = F.col("starts")
     return first.select("term", starts.cast("bigint").alias("new")).groupBy("term").agg(F.sum("new").alias("df"), F.count("*").alias("cf")).filter("df >= 2")
 
 
@@ -117,3 +117,12 @@ def json_props(spark, sf_dir):
 @query("keep_lowest_per_key", "SELECT lang, source, arg_min(doc_id, (n_chars, doc_id)) AS doc_id FROM documents GROUP BY lang, source")
 def keep_lowest_per_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.min_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"))
+
+
+@query("html_leads")
+def html_leads(spark, sf_dir):
+    """S-10, N-39, N-41: title, lead and passage spans of each page; a parser's work, held by tests instead of SQL."""
+    from veristrata.sources import html
+
+    parsed = html.leads(html.parsed_pages(table(spark, sf_dir, "pages").select("page_id", "html")))
+    return parsed.select("page_id", "title", "lead", F.size("paragraphs").alias("paragraphs"), html.passage_spans(F.col("paragraphs")).alias("passages"))

@@ -24,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of files under which a scan may hold its rows in one row group, and so in one task.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for heavy work on each row: a scan of a few small files is dealt to all cores, a larger one stays as it is."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    if int(str(stats.sizeInBytes())) > SMALL:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def spelled(rows: list[tuple], names: str) -> str:
     """Literal rows as a SQL table expression, for cases that the driver's tables do not hold."""
 
