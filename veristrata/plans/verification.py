@@ -48,7 +48,7 @@ def vectors(spark, sf_dir):
 @query(
     "corpus_hybrid",
     BM25_SQL + ", " + VECTORS + """, u AS (SELECT item_id, doc_id, rank FROM r WHERE rank <= 50 AND score > 0 UNION ALL SELECT item_id, doc_id, rank FROM x WHERE rank <= 50), g AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 8) AS score FROM u GROUP BY ALL)
-    SELECT item_id, doc_id, score, round(cos, 4) AS dense_score, pos FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS pos FROM g) LEFT JOIN v USING (item_id, doc_id) WHERE pos <= 10""",
+    SELECT item_id, doc_id, score, cos AS dense_score, pos FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS pos FROM g) LEFT JOIN v USING (item_id, doc_id) WHERE pos <= 10""",
 )
 def corpus_hybrid(spark, sf_dir):
     """R-05, R-07, R-08: the best 50 by BM25 (scores over 0 only) and by cosine, fused; the cosine stands beside each hit."""
@@ -57,18 +57,18 @@ def corpus_hybrid(spark, sf_dir):
     dense = R.top_k(cos, ["item_id"], "doc_id", 50, "cos").select("item_id", "doc_id", "rank")
     fused = R.rrf(words.unionByName(dense), "item_id", "doc_id").withColumn("score", F.round("score", 8))
     best = R.top_k(fused, ["item_id"], "doc_id", 10).withColumn("pos", F.col("rank").cast("bigint"))
-    return best.join(cos, ["item_id", "doc_id"], "left").select("item_id", "doc_id", "score", F.round("cos", 4).alias("dense_score"), "pos")
+    return best.join(cos, ["item_id", "doc_id"], "left").select("item_id", "doc_id", "score", F.col("cos").alias("dense_score"), "pos")
 
 
 @query(
     "dense_fuse",
     BM25_SQL + ", " + VECTORS + """, b AS (SELECT item_id, doc_id, rank, count(*) OVER (PARTITION BY item_id) AS n FROM r WHERE rank <= 20)
-    SELECT item_id, doc_id, round(coalesce(cos, -2 - (rank - 1) / (n + 1)), 4) AS score FROM b LEFT JOIN v USING (item_id, doc_id)""",
+    SELECT item_id, doc_id, round(coalesce(cos, -2 - (rank - 1) / (n + 1)), 6) AS score FROM b LEFT JOIN v USING (item_id, doc_id)""",
 )
 def dense_fuse(spark, sf_dir):
     """R-06: BM25's best by cosine; documents without a vector behind all others, in BM25's order."""
     b = bm25_ranked(spark, sf_dir, 20).withColumn("n", F.count("*").over(Window.partitionBy("item_id")))
-    return b.join(vectors(spark, sf_dir), ["item_id", "doc_id"], "left").select("item_id", "doc_id", F.round(F.coalesce("cos", -2 - (F.col("rank") - 1) / (F.col("n") + 1)), 4).alias("score"))
+    return b.join(vectors(spark, sf_dir), ["item_id", "doc_id"], "left").select("item_id", "doc_id", F.round(F.coalesce("cos", -2 - (F.col("rank") - 1) / (F.col("n") + 1)), 6).alias("score"))
 
 
 @query("rerank_sort", BM25_SQL + " SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id * 7919 % 101 DESC, doc_id) AS rank FROM r WHERE rank <= 10")
