@@ -205,6 +205,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
             columns = [b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(hi - lo), pa.array(map(zlib.crc32, parts), pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(map(bytes, parts), pa.binary())] * with_ids, names[: 5 + with_ids])
+        shared.give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", shared.text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
@@ -255,7 +256,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    return pack_pieces(shared.materialise(cut_pieces(docs, path, capacity, end_id, with_ids), "pieces"), capacity)
+    with shared.small_batches(docs.sparkSession):
+        pieces = shared.materialise(cut_pieces(docs, path, capacity, end_id, with_ids), "pieces")
+    return pack_pieces(pieces, capacity)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +85,31 @@ def slices(batches, size: int = 2000, most: int = 32 << 20):
             yield batch.slice(at, step)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Within, rows go to Python workers in Arrow batches of at most so many, which bounds what both sides hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Return memory that a worker's libraries hold free to the system."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def worker_memory(name: str) -> dict:
     """A dict that lives on in the Python worker over its tasks, until one of another name is asked for.
 

@@ -144,10 +144,13 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
                     doc_ids, sizes, ids, n, seq = [], [], [], 0, seq + 1
         if n:
             yield flush()
+        del doc_ids, sizes, ids
+        shared.give_back()
 
     ranged = docs.select("doc_id", shared.text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = ranged.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    return shared.materialise(ranged.mapInArrow(run, "part bigint, seq bigint, file string, n_docs bigint, n_tokens bigint"), "token-files")
+    with shared.small_batches(docs.sparkSession):
+        return shared.materialise(ranged.mapInArrow(run, "part bigint, seq bigint, file string, n_docs bigint, n_tokens bigint"), "token-files")
 
 
 def with_bases(files: DataFrame) -> DataFrame:
