@@ -1,4 +1,4 @@
-"""Pressure techniques and hoax cues of a message, sentences, check-worthiness and claims (N-15 to N-20, N-48, N-49)."""
+"""Pressure techniques and hoax cues of a message (N-48, N-49)."""
 
 from __future__ import annotations
 
