@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.operators.metrics import ratio, wilson
+from veristrata.operators.metrics import numbered, ratio, wilson
 
 
 def word_edits(a: Column, b: Column) -> Column:
@@ -127,3 +127,39 @@ def stance_features(passages: DataFrame, claim: str, k: int = 10) -> DataFrame:
         (F.sum(w * (s - r)) / F.sum(w)).alias("ranked"), first(s).alias("top_s"), first(r).alias("top_r"), first(u).alias("top_n"), (F.max(s) * F.max(r)).alias("product"),
         zero(F.max("dense")).alias("dense_max"), zero(F.avg("dense")).alias("dense_mean"), (F.count("dense") > 0).cast("double").alias("has_dense"), (F.count("*") / k).alias("filled"),
     )
+
+
+def select_tau(rows: DataFrame, precision: float = 0.9, false_supported: int = 0, baseline: int = 0) -> DataFrame:
+    """V-12: the least confidence of rows(gold, pred, confidence) at which what is shown is right by `precision`, wrongly
+    supported (pred 1, gold 0) at most so often, and right 1.3 times as often as the baseline; null where there is none.
+
+    Counts at each confidence, summed from the highest down by ranges: no task orders all rows.
+    """
+    right, bad = (F.col("gold") == F.col("pred")).cast("bigint"), ((F.col("pred") == 1) & (F.col("gold") == 0)).cast("bigint")
+    c = rows.groupBy("confidence").agg(F.count("*").alias("n"), F.sum(right).alias("r"), F.sum(bad).alias("b"))
+    down = c
+    for name in ("n", "r", "b"):
+        summed = numbered(c.select("confidence", name), [], [F.desc("confidence")], name).select("confidence", F.col("total").alias(f"{name}_at"))
+        down = down.join(summed, "confidence")
+    least = math.ceil(1.3 * baseline)
+    good = down.filter((F.col("r_at") >= precision * F.col("n_at")) & (F.col("r_at") >= least) & (F.col("b_at") <= false_supported))
+    return good.agg(F.min("confidence").alias("tau"))
+
+
+def cross_cosines(rows: DataFrame, group: str, vector: str) -> DataFrame:
+    """M-37: (a, b, cosine) of every two groups: the mean over all pairs of rows, which is the product of the mean unit vectors."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = rows.select(F.col(group).alias("g"), F.posexplode(vector).alias("i", "x"), norm.alias("norm"))
+    mean = unit.groupBy("g", "i").agg(F.avg(F.col("x").cast("double") / F.col("norm")).alias("m"))
+    other = mean.select(F.col("g").alias("b"), "i", F.col("m").alias("k"))
+    pairs = mean.withColumnRenamed("g", "a").join(other, "i").filter("a < b")
+    return pairs.groupBy("a", "b").agg(F.sum(F.col("m") * F.col("k")).alias("cosine"))
+
+
+def word_faithfulness(rows: DataFrame) -> DataFrame:
+    """M-26: rows(top, rnd, bottom), the falls in probability without the top, random and bottom words: the top ones win over
+    random ones in 0.8 of rows, fall twice as far, and bottom ones no farther than random ones."""
+    top, rnd, bottom = F.avg("top"), F.avg("rnd"), F.avg("bottom")
+    win = F.avg((F.col("top") > F.col("rnd")).cast("int"))
+    passes = (win >= 0.8) & (F.try_divide(top, rnd) >= 2) & (bottom <= rnd)
+    return rows.agg(F.count("*").alias("n"), F.round(win, 6).alias("win_rate"), F.round(F.try_divide(top, rnd), 4).alias("ratio"), (bottom <= rnd).alias("bottom_ok"), F.coalesce(passes, F.lit(False)).alias("passes"))
