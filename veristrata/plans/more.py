@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veristrata.functions.text import char_shingles, jaccard, tokens
+from veristrata.functions.text import char_shingles, tokens
 from veristrata.plans.metrics import PRED, predictions
 from veristrata.registry import query, table
 from veristrata.streaming import windows
@@ -42,9 +42,12 @@ def events_sliding(spark, sf_dir):
 @query("shingle_overlap", "WITH s AS (SELECT item_id, list_distinct(list_transform(range(1, length(text) - 3), lambda i: substr(lower(text), i, 5))) AS g FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS j FROM s a JOIN s b ON a.item_id < b.item_id WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.03")
 def shingle_overlap(spark, sf_dir):
     s = table(spark, sf_dir, "benchmark").select("item_id", char_shingles(F.lower("text")).alias("g"))
-    b = s.select(F.col("item_id").alias("b"), F.col("g").alias("h"))
-    both = s.withColumnRenamed("item_id", "a").join(b, F.col("a") < F.col("b"))  # benchmark items among themselves
-    return both.select("a", "b", jaccard(F.col("g"), F.col("h")).alias("j")).filter("j >= 0.03").select("a", "b", F.round("j", 6).alias("j"))
+    g = s.select("item_id", F.size("g").alias("n"), F.explode("g").alias("x"))
+    other = g.select(F.col("item_id").alias("b"), F.col("n").alias("m"), "x")
+    # items that share no shingle never meet
+    both = g.withColumnRenamed("item_id", "a").join(other, "x").filter("a < b").groupBy("a", "b", "n", "m").agg(F.count("*").alias("common"))
+    j = F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
+    return both.select("a", "b", j.alias("j")).filter("j >= 0.03").select("a", "b", F.round("j", 6).alias("j"))
 
 
 @query("content_terms_top", r"SELECT lang, term, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS r FROM (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) WHERE length(term) >= 4 GROUP BY ALL)) WHERE r <= 10")

@@ -82,14 +82,24 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(t).cast("bigint").alias("n"), F.sha1(t).alias("sha1"))
 
 
+#: Claims that go to every task at once.
+CLAIMS_AT_ONCE = 5_000
+
+
 @query("claim_coverage", f"WITH q AS (SELECT item_id, list_distinct(list_filter({WORDS}, lambda x: length(x) >= 3)) AS terms FROM benchmark), l AS (SELECT page_id, lower(html) AS p FROM pages) SELECT item_id, page_id, round(list_avg(list_transform(terms, lambda t: CASE WHEN contains(p, t) THEN 1.0 ELSE 0.0 END)), 6) AS coverage FROM q, l WHERE len(terms) > 0 AND list_avg(list_transform(terms, lambda t: CASE WHEN contains(p, t) THEN 1.0 ELSE 0.0 END)) >= 0.5")
 def claim_coverage(spark, sf_dir):
     terms = F.array_distinct(F.filter(T.tokens(F.col("text")), lambda x: F.length(x) >= 3))
     q = table(spark, sf_dir, "benchmark").select("item_id", terms.alias("terms")).filter(F.size("terms") > 0)
     pages = table(spark, sf_dir, "pages").select("page_id", F.lower("html").alias("p"))
     share = F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.contains(F.col("p"), t).cast("double")) / F.size("terms")
-    both = pages.crossJoin(q)  # a stated query set against all pages
-    return both.select("item_id", "page_id", share.alias("c")).filter("c >= 0.5").select("item_id", "page_id", F.round("c", 6).alias("coverage"))
+    # a stated query set against all pages, in blocks of a bounded size
+    blocks = -(-q.count() // CLAIMS_AT_ONCE) or 1
+    out = None
+    for i in range(blocks):
+        block = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
+        found = pages.crossJoin(F.broadcast(block)).select("item_id", "page_id", share.alias("c")).filter("c >= 0.5").select("item_id", "page_id", F.round("c", 6).alias("coverage"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("split_counts_grouping_sets", "SELECT lang, source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY GROUPING SETS ((), (lang), (source), (lang, source))")
@@ -105,8 +115,9 @@ def dataset_profile(spark, sf_dir):
 
 @query("latency_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("vs_events")
-    return spark.sql("SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, max(value) AS most FROM vs_events GROUP BY event_type")
+    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
+    # equal values are one entry of a group's buffer, so its size is that of the distinct values
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("most"))
 
 
 @query("json_props", "SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY event_type")
