@@ -81,7 +81,7 @@ def canonical_urls(spark, sf_dir):
     return pages.select("page_id", R.canonical_url(F.col("url")).alias("url"))
 
 
-IDS = [("averitec:train.json:12", "train", 12), ("x_1:dev.json:0", "dev", 0), ("X:train.json:1", None, None), ("a:test.json:3", None, None), ("a:train.json:", None, None), (None, None, None)]
+IDS = [("store:train.json:12", "train", 12), ("x_1:dev.json:0", "dev", 0), ("X:train.json:1", None, None), ("a:test.json:3", None, None), ("a:train.json:", None, None), (None, None, None)]
 
 
 @query("id_parse", f"SELECT id::BIGINT AS id, split, n::BIGINT AS n FROM {spelled([(i, s, n) for i, (_, s, n) in enumerate(IDS)], 'id, split, n')}")
