@@ -41,9 +41,15 @@ def test_vector_of_zeros_ranks_first_as_in_sql(spark):
     assert [r.vec_id for r in found] == [1, 2] and found[0].score != found[0].score and found[1].score == 0.707107
 
 
-@pytest.mark.parametrize("name", ["weighted_fuse", "fast_path_curve"])
+@pytest.mark.parametrize("name", ["weighted_fuse", "fast_path_curve", "dense_topk"])
 def test_no_pairs_are_made(spark, tmp_path, name):
     docs = spark.createDataFrame([(i, [float(i % 7), float(i % 5) - 2, 1.0], i % 3) for i in range(1, 120)], "vec_id bigint, embedding array<float>, label int")
     docs.write.parquet(f"{tmp_path}/embeddings.parquet")
     plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_scores_are_rounded_as_in_sql(spark, tmp_path):
+    docs = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.50655, (1 - 0.50655**2) ** 0.5], 0)], "vec_id bigint, embedding array<float>, label int")
+    docs.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [r.score for r in catalog.QUERIES["dense_topk"](spark, str(tmp_path)).collect()] == [0.5065]
