@@ -41,7 +41,7 @@ def test_vector_of_zeros_ranks_first_as_in_sql(spark):
     assert [r.vec_id for r in found] == [1, 2] and found[0].score != found[0].score and found[1].score == 0.707107
 
 
-@pytest.mark.parametrize("name", ["weighted_fuse", "fast_path_curve", "dense_topk"])
+@pytest.mark.parametrize("name", ["weighted_fuse", "fast_path_curve", "dense_topk", "retrieval_metrics"])
 def test_no_pairs_are_made(spark, tmp_path, name):
     docs = spark.createDataFrame([(i, [float(i % 7), float(i % 5) - 2, 1.0], i % 3) for i in range(1, 120)], "vec_id bigint, embedding array<float>, label int")
     docs.write.parquet(f"{tmp_path}/embeddings.parquet")
