@@ -41,7 +41,7 @@ def test_vector_of_zeros_ranks_first_as_in_sql(spark):
     assert [r.vec_id for r in found] == [1, 2] and found[0].score != found[0].score and found[1].score == 0.707107
 
 
-@pytest.mark.parametrize("name", ["weighted_fuse", "fast_path_curve", "dense_topk", "retrieval_metrics"])
+@pytest.mark.parametrize("name", ["weighted_fuse", "fast_path_curve", "dense_topk", "retrieval_metrics", "rrf_fuse"])
 def test_no_pairs_are_made(spark, tmp_path, name):
     docs = spark.createDataFrame([(i, [float(i % 7), float(i % 5) - 2, 1.0], i % 3) for i in range(1, 120)], "vec_id bigint, embedding array<float>, label int")
     docs.write.parquet(f"{tmp_path}/embeddings.parquet")
@@ -53,3 +53,11 @@ def test_scores_are_rounded_as_in_sql(spark, tmp_path):
     docs = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.50655, (1 - 0.50655**2) ** 0.5], 0)], "vec_id bigint, embedding array<float>, label int")
     docs.write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [r.score for r in catalog.QUERIES["dense_topk"](spark, str(tmp_path)).collect()] == [0.5065]
+
+
+def test_nearest_keys_are_those_of_all_pairs(spark):
+    ids = spark.createDataFrame([(i * i % 97 + 100 * (i // 50),) for i in range(49)] + [(i * 7 + 3000,) for i in range(60)], "vec_id bigint").distinct()
+    asked = ids.filter("vec_id % 3 = 0")
+    pairs = asked.select(F.col("vec_id").alias("query_id")).join(ids, F.col("vec_id") != F.col("query_id"))
+    want = R.top_k(pairs.withColumn("near", -F.abs(F.col("vec_id") - F.col("query_id"))), ["query_id"], "vec_id", 9, "near").select("query_id", "vec_id", "rank")
+    assert sorted(map(tuple, R.nearest_keys(asked, ids, 9).collect())) == sorted(map(tuple, want.collect()))
