@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veristrata.functions import messages as M
 from veristrata.functions import ratings as R
 from veristrata.functions import text as T
-from veristrata.registry import query, spelled, table
+from veristrata.operators.retrieval import best_lines
+from veristrata.registry import query, spelled, spread, table
 
 #: Cell, labels, verdict: worked out by hand.
 RATINGS = [
@@ -172,12 +172,7 @@ def negative_claims(spark, sf_dir):
     SELECT item_id, doc_id, pos, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id, pos) AS r FROM c) WHERE r = 1""",
 )
 def best_sentence(spark, sf_dir):
-    """N-43, N-44: the paragraph of all documents that an item's distinct terms fit best, the earliest of equals; a join on terms."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    w = T.tokens(F.col("line"))
-    held = lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.size(w).alias("n"), F.explode(F.array_distinct(w)).alias("term"))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    scores = asked.join(held, "term").groupBy("item_id", "doc_id", "pos", "n").agg(F.count("*").alias("hits"))
-    scores = scores.select("item_id", "doc_id", "pos", F.round(F.col("hits") / F.sqrt("n"), 6).alias("score"))
-    first = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "pos"))
-    return scores.withColumn("r", first).filter("r <= 1").drop("r")
+    """N-43, N-44: the paragraph of all documents that an item's distinct terms fit best, the earliest of equals."""
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    words = lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), T.tokens(F.col("line")).alias("w"))
+    return best_lines(words, table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("w")), "item_id", "doc_id")
