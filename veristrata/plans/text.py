@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veristrata.functions import text as T
+from veristrata.operators.retrieval import term_coverage
 from veristrata.registry import query, spread, table
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -90,14 +91,13 @@ CLAIMS_AT_ONCE = 5_000
 def claim_coverage(spark, sf_dir):
     terms = F.array_distinct(F.filter(T.tokens(F.col("text")), lambda x: F.length(x) >= 3))
     q = table(spark, sf_dir, "benchmark").select("item_id", terms.alias("terms")).filter(F.size("terms") > 0)
-    pages = table(spark, sf_dir, "pages").select("page_id", F.lower("html").alias("p"))
-    share = F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.contains(F.col("p"), t).cast("double")) / F.size("terms")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.array_distinct(T.tokens(F.col("html"))).alias("w"))
     # a stated query set against all pages, in blocks of a bounded size
     blocks = -(-q.count() // CLAIMS_AT_ONCE) or 1
     out = None
     for i in range(blocks):
         block = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        found = pages.crossJoin(F.broadcast(block)).select("item_id", "page_id", share.alias("c")).filter("c >= 0.5").select("item_id", "page_id", F.round("c", 6).alias("coverage"))
+        found = term_coverage(pages, block, "item_id", "page_id", 0.5).select("item_id", "page_id", F.round("c", 6).alias("coverage"))
         out = found if out is None else out.unionByName(found)
     return out
 
