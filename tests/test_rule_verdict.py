@@ -3,6 +3,7 @@
 import collections
 
 from veristrata import catalog
+from veristrata.operators import decisions as D
 
 
 def test_every_passage_counts(spark, tmp_path):
@@ -22,3 +23,15 @@ def test_every_passage_counts(spark, tmp_path):
     assert {v for v, _ in want.values()} == {"Conflicting", "Supported", "Refuted", "NEI"}
     assert found.keys() == want.keys()
     assert all(found[c][0] == want[c][0] and abs(found[c][1] - want[c][1]) < 2e-6 for c in want)
+
+
+#: Parts of 200 and weights in tenths whose weighted mean is 1/4; as doubles, in this order, it comes out below.
+QUARTER = [(15, 10), (62, 6), (54, 9), (76, 7), (60, 6)]
+
+
+def test_order_of_the_sum_does_not_decide_a_limit(spark):
+    passages = [(1, a / 200.0, 0.3, c / 10.0) for a, c in QUARTER] + [(2, a / 200.0, 0.3, c / 10.0) for a, c in QUARTER[::-1]]
+    df = spark.createDataFrame(passages, "claim int, support double, refute double, relevance double").coalesce(1)
+    found = sorted(map(tuple, D.live_scored(df, "claim").collect()))
+    assert found == [(1, "Conflicting", 0.55), (2, "Conflicting", 0.55)]
+    assert {r.verdict for r in D.live_verdict(df, "claim").collect()} == {"Conflicting"}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Limits of the live verdict (fixed values).
 WEAK, WEAK_SHARE, STRONG_REFUTER = 0.25, 0.6, 0.5
+#: Decimals to which means are compared: the order in which doubles are summed does not decide what lies on a limit.
+PLACES = 12
 
 
 def rule_verdict(passages: DataFrame, claim: str, claims: DataFrame | None = None) -> DataFrame:
@@ -24,14 +26,14 @@ def live_scored(passages: DataFrame, claim: str) -> DataFrame:
     """(claim, verdict, confidence) from passages(claim, support, refute, relevance): means weighted by relevance, at least 0."""
     w = F.greatest("relevance", F.lit(0.0))
     mean = lambda c: F.sum(w * F.col(c)) / F.when(F.sum(w) == 0, None).otherwise(F.sum(w))
-    m = passages.groupBy(claim).agg(mean("support").alias("s"), mean("refute").alias("r"), F.max("refute").alias("most"))
+    m = passages.groupBy(claim).agg(F.round(mean("support"), PLACES).alias("s"), F.round(mean("refute"), PLACES).alias("r"), F.max("refute").alias("most"))
     s, r = F.col("s"), F.col("r")
-    weak, strong, neutral = F.least("s", "r"), F.greatest("s", "r"), 1 - s - r
+    weak, strong, neutral = F.least("s", "r"), F.greatest("s", "r"), F.round(1 - s - r, PLACES)
     sided = F.when(s < r, "Refuted").when(F.col("most") >= STRONG_REFUTER, "Conflicting").otherwise("Supported")
-    verdict = F.when(s.isNull(), "NEI").when((weak >= WEAK) & (weak >= WEAK_SHARE * strong), "Conflicting").when(strong > neutral, sided).otherwise("NEI")
+    verdict = F.when(s.isNull(), "NEI").when((weak >= WEAK) & (weak >= F.round(WEAK_SHARE * strong, PLACES)), "Conflicting").when(strong > neutral, sided).otherwise("NEI")
     m = m.withColumn("verdict", verdict)
     v = F.col("verdict")
-    sure = F.when(s.isNull(), 0.0).when(v == "Conflicting", F.least(F.lit(1.0), s + r)).when(v == "Supported", s).when(v == "Refuted", r).otherwise(neutral)
+    sure = F.when(s.isNull(), 0.0).when(v == "Conflicting", F.least(F.lit(1.0), F.round(s + r, PLACES))).when(v == "Supported", s).when(v == "Refuted", r).otherwise(neutral)
     return m.select(claim, "verdict", sure.alias("confidence"))
 
 
