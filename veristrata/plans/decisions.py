@@ -12,7 +12,7 @@ PASSAGES = "WITH p AS (SELECT user_id AS claim, event_id % 97 / 200.0 AS support
 
 def passages(spark, sf_dir):
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("claim"), (e % 97 / 200.0).alias("support"), (e % 89 / 190.0).alias("refute"), (e % 11 / 10.0).alias("relevance"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("claim"), e.alias("passage"), (e % 97 / 200.0).alias("support"), (e % 89 / 190.0).alias("refute"), (e % 11 / 10.0).alias("relevance"))
 
 
 @query(
