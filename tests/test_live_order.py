@@ -6,7 +6,7 @@ import pytest
 from veristrata import catalog
 
 #: Events of a claim whose mean is 1/4; summed as doubles in this order it comes out below.
-EDGES = {"live_confidence": [5993, 10127], "two_model_agree": [1498, 11618]}
+EDGES = {"live_verdict": [5993, 10127], "live_confidence": [5993, 10127], "two_model_agree": [1498, 11618]}
 
 
 @pytest.mark.parametrize("name", EDGES)

@@ -31,7 +31,7 @@ def rule_verdict(spark, sf_dir):
 
 @query("live_verdict", PASSAGES + ", m AS (SELECT claim, sum(relevance * support) / nullif(sum(relevance), 0) AS s, sum(relevance * refute) / nullif(sum(relevance), 0) AS r, max(refute) AS most FROM p GROUP BY claim) SELECT claim, CASE WHEN s IS NULL THEN 'NEI' WHEN least(s, r) >= 0.25 AND least(s, r) >= 0.6 * greatest(s, r) THEN 'Conflicting' WHEN greatest(s, r) > 1 - s - r THEN CASE WHEN s < r THEN 'Refuted' WHEN most >= 0.5 THEN 'Conflicting' ELSE 'Supported' END ELSE 'NEI' END AS verdict FROM m")
 def live_verdict(spark, sf_dir):
-    return D.live_verdict(passages(spark, sf_dir), "claim")
+    return D.live_verdict(passages(spark, sf_dir), "claim", "passage")
 
 
 @query(
